@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 from functools import lru_cache
 from typing import Iterator
 
@@ -26,12 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import count_of, settle, small_batches
+from .common import count_of, discard, settle, small_batches
 
 #: A word of more bytes is folded in Python by the same merges: the fold's steps grow with the square of the length.
 LONG_WORD = 256
 #: The dictionary is broadcast up to so many bytes; beyond, texts and their words meet in buckets by shuffle.
 BROADCAST_BYTES = 160 << 20
+#: Different chunks and words that a task remembers, so as not to handle them again.
+SEEN = 400_000
 #: Text bytes of a bucket when the dictionary is too large to broadcast.
 BUCKET_BYTES = 32 << 20
 BASE = 1 << 17  # a token id is less
@@ -124,16 +127,45 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
+class Splitter:
+    """Splits texts by the pattern, with each different chunk between single spaces split once.
+
+    A match of such a pattern can hold a space only as its first character (or as one of
+    a run of white space), so a space between two characters that aren't white space
+    always begins a match, and what stands left of it has no part in what follows. Texts
+    with other spaces are split whole. A pattern not known to be of this kind is
+    always applied to whole texts.
+    """
+
+    def __init__(self, pattern: str):
+        self.match = regex.compile(pattern).findall
+        self.chunked = " ?\\p{L}+" in pattern and pattern.endswith("|\\s+(?!\\S)|\\s+")
+        self.odd = re.compile(r" \s|\s ").search
+
+    def chunks(self, text: str) -> list[str]:
+        """Chunks whose matches, one after another, are those of the text."""
+        if not self.chunked or self.odd(text):
+            return [text]
+        first, *more = text.split(" ")
+        return [first, *map(" ".__add__, more)]
+
+
 def distinct_words(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
     """(word binary): each different match of pattern in the texts, once."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = regex.compile(pattern).findall
+        splitter, seen, words = Splitter(pattern), set(), set()
         for batch in batches:
-            words: set[str] = set()
+            chunks = set()
             for value in batch.column(0):
-                words.update(match(value.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array([w.encode() for w in words], pa.binary())], ["word"])
+                chunks.update(splitter.chunks(value.as_py()))
+            chunks -= seen
+            new = set().union(*map(splitter.match, chunks)) - words
+            yield pa.RecordBatch.from_arrays([pa.array([w.encode() for w in new], pa.binary())], ["word"])
+            if len(seen) > SEEN or sum(map(len, chunks)) > 40 * SEEN:
+                seen, words = set(), set()
+            seen |= chunks
+            words |= new
 
     return docs.select(F.col(text).alias("text")).filter("text <> ''").mapInArrow(split, "word binary").distinct()
 
@@ -161,23 +193,31 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decode_
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    words = settle(dictionary(distinct_words(docs, pattern, text), path))
+    plain = settle(distinct_words(docs, pattern, text))
+    words = settle(dictionary(plain, path))
+    discard(plain)
     n, n_ids = words.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
     kept = [c for c in docs.columns if c.lower() not in {text.lower(), "ids", "decoded"} and not c.startswith("__")]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text), F.lit("")).alias("__text"))
     fields = [f for f in rows.schema if f.name != "__text"]
     out = T.StructType([*fields, T.StructField("ids", T.BinaryType()), *[T.StructField("decoded", T.BinaryType())] * decode_too])
 
-    def applied(batch: pa.RecordBatch | pa.Table, look_up, pieces: list[bytes]) -> pa.RecordBatch:
-        match = regex.compile(pattern).findall
-        split = [match(x.as_py()) for x in batch.column("__text")]
-        own = list(set().union(*split))
-        ids = look_up(own)
-        encoded = {w: x.astype("<u4").tobytes() for w, x in zip(own, ids)}
-        columns = [batch.column(f.name) for f in fields] + [pa.array([b"".join(map(encoded.__getitem__, x)) for x in split], pa.binary())]
-        if decode_too:
-            decoded = {w: b"".join(map(pieces.__getitem__, x.tolist())) for w, x in zip(own, ids)}
-            columns.append(pa.array([b"".join(map(decoded.__getitem__, x)) for x in split], pa.binary()))
+    def applied(batch: pa.RecordBatch | pa.Table, look_up, pieces: list[bytes], known: dict) -> pa.RecordBatch:
+        splitter = Splitter(pattern)
+        split = [splitter.chunks(x.as_py()) for x in batch.column("__text")]
+        if len(known) > SEEN or sum(map(len, known)) > 40 * SEEN:
+            known.clear()
+        new = set().union(*split) - known.keys()
+        matches = {c: splitter.match(c) for c in new}
+        own = list(set().union(*matches.values()))
+        ids = {w: x.astype("<u4").tobytes() for w, x in zip(own, look_up(own))}
+        for c, ws in matches.items():
+            coded = b"".join(map(ids.__getitem__, ws))
+            known[c] = coded, b"".join(map(pieces.__getitem__, np.frombuffer(coded, "<u4").tolist())) if decode_too else b""
+        columns = [batch.column(f.name) for f in fields]
+        for i in range(1 + decode_too):
+            part = {c: known[c][i] for c in set().union(*split)}
+            columns.append(pa.array([b"".join(map(part.__getitem__, x)) for x in split], pa.binary()))
         return pa.table(columns, names=out.names)
 
     def pieces_of() -> list[bytes]:
@@ -195,8 +235,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decode_
                 at = np.searchsorted(hashes, np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in own), np.uint64, len(own)))
                 return [flat[starts[i] : starts[i + 1]] for i in at]
 
+            known: dict[str, tuple[bytes, bytes]] = {}
             for batch in batches:
-                yield from applied(batch, look_up, pieces).to_batches()
+                yield from applied(batch, look_up, pieces, known).to_batches()
 
         return rows.mapInArrow(by_broadcast, out)
 
@@ -214,25 +255,34 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decode_
 
     def by_shuffle(texts: pa.Table, own: pa.Table) -> pa.Table:
         found = {w.decode(): np.array(x, "<u4") for w, x in zip(own.column("word").to_pylist(), own.column("ids").to_pylist())}
-        return applied(texts, lambda ws: [found[w] for w in ws], pieces_of())
+        return applied(texts, lambda ws: [found[w] for w in ws], pieces_of(), {})
 
     return dealt.groupBy("__bucket").cogroup(by_bucket.groupBy("__bucket")).applyInArrow(by_shuffle, out)
 
 
 def _packed(words: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The dictionary as sorted hashes of words, where each word's ids start, and the ids; its size has been checked."""
-    got = words.select(F.xxhash64("word").alias("h"), "ids").toArrow()
-    hashes = got.column("h").combine_chunks().to_numpy(zero_copy_only=False).view(np.uint64)
-    ids = got.column("ids").combine_chunks()
-    offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype(np.uint32)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("ids").to_pylist()
+            flat = np.fromiter((i for x in ids for i in x), np.uint32)
+            parts = [batch.column("h").to_numpy().tobytes(), np.array([len(x) for x in ids], np.uint32).tobytes(), flat.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], ["h", "n", "ids"])
+
+    got = words.select(F.xxhash64("word").alias("h"), "ids").mapInArrow(pack, "h binary, n binary, ids binary").toArrow()
+    hashes, length, flat = (np.frombuffer(b"".join(x.as_py() for x in got.column(c)), kind) for c, kind in (("h", np.uint64), ("n", np.uint32), ("ids", np.uint32)))
+    del got
     order = np.argsort(hashes)
     hashes = hashes[order]
     if (hashes[1:] == hashes[:-1]).any():
         raise ValueError("two words share a 64-bit hash")
-    length = np.diff(offsets)[order]
-    starts = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
-    take = np.arange(starts[-1]) - np.repeat(starts[:-1] - offsets[:-1][order], length)
-    return hashes, starts.astype(np.uint32) if starts[-1] < 1 << 32 else starts, flat[take]
+    begin = (np.cumsum(length, dtype=np.int64) - length)[order]
+    length = length[order]
+    starts = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
+    take = np.repeat((begin - starts[:-1]).astype(np.int32), length)
+    take += np.arange(len(take), dtype=np.int32)
+    return hashes, starts.astype(np.uint32), flat[take]
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
