@@ -105,3 +105,32 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def count_of(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))
+
+
+def block_pairs(touch: DataFrame, group: list[str]) -> DataFrame:
+    """(a, b): the different pairs of blocks (a <= b, of any type) that meet in some ``group``; touch has group and ``block``."""
+    sets = touch.groupBy(*group).agg(F.array_sort(F.collect_set("block")).alias("s"))
+    pairs = sets.select(F.explode(F.flatten(F.transform("s", lambda a, i: F.transform(F.slice("s", i + 1, F.size("s")), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p"))
+    return pairs.select("p.a", "p.b").distinct()
+
+
+def paired_rows(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """members (with ``block``) once for each pair that its block is part of, with ``pair`` and ``side`` (0 or 1)."""
+    pair = F.struct("a", "b").alias("pair")
+    sides = pairs.select(pair, F.lit(0).alias("side"), F.col("a").alias("block")).unionByName(pairs.filter("a <> b").select(pair, F.lit(1).alias("side"), F.col("b").alias("block")))
+    return members.join(sides, "block")
+
+
+def summarize_links(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, component, class_id, n_links) for each class (key, copies, ident) of equal members.
+
+    found: (u, v, links): ``links`` more members are linked with each of u's, and v
+    is a key in u's component (or u). class_id: the smallest ident in the component.
+    """
+    found = settle(found)
+    links = found.groupBy(F.col("u").alias("key")).agg(F.sum("links").alias("links"))
+    parts = components(found.select("u", "v")).withColumnRenamed("id", "key")
+    both = classes.join(parts, "key", "left").join(links, "key", "left")
+    both = settle(both.select("key", "copies", "ident", F.coalesce("component", "key").alias("component"), F.coalesce("links", F.lit(0)).alias("links")))
+    low = both.groupBy("component").agg(F.min("ident").alias("class_id"))
+    return both.join(low, "component").select("key", "component", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mixing, quality, secrets, sharding
+from . import bpe, chat, mixing, ngrams, quality, secrets, sharding, vectors
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,10 +19,18 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.join(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,10 +53,12 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_ngram_join": op1_ngram_join,
     "op3_quality_crf": op3_quality_crf,
     "op5_secret_scan": op5_secret_scan,
     "op6_chat_preferences": op6_chat_preferences,
     "op7_resharding": op7_resharding,
+    "op8_vector_dedup": op8_vector_dedup,
     "op9_bpe": op9_bpe,
     "op10_pfair_mix": op10_pfair_mix,
 }
