@@ -34,7 +34,7 @@ LONG_WORD = 256
 #: The dictionary is broadcast up to so many bytes; beyond, texts and their words meet in buckets by shuffle.
 BROADCAST_BYTES = 160 << 20
 #: Different chunks and words that a task remembers, so as not to handle them again.
-SEEN = 400_000
+SEEN = 200_000
 #: Text bytes of a bucket when the dictionary is too large to broadcast.
 BUCKET_BYTES = 32 << 20
 BASE = 1 << 17  # a token id is less
@@ -49,6 +49,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
 
 
+@lru_cache(2)
+def pieces_by_id(path: str) -> list[bytes | None]:
+    found = {i: piece for piece, i in read_ranks(path).items()}
+    return [found.get(i) for i in range(max(found) + 1)]
+
+
 @lru_cache(2)
 def pair_table(path: str) -> str:
     """JSON of SLOTS lists: NONE, then pair and merged id of each pair in that slot; a pair (l, r) is l * BASE + r."""
@@ -138,10 +144,14 @@ class Splitter:
     """
 
     def __init__(self, pattern: str):
-        self.match = regex.compile(pattern).findall
+        self.find = regex.compile(pattern).findall
         self.chunked = " ?\\p{L}+" in pattern and pattern.endswith("|\\s+(?!\\S)|\\s+")
         self.odd = re.compile(r" \s|\s ").search
 
+    def match(self, chunk: str) -> list[str]:
+        """The matches in a chunk; letters after one space, the usual case, are a single one."""
+        return [chunk] if self.chunked and chunk[:1] == " " and chunk[1:].isalpha() else self.find(chunk)
+
     def chunks(self, text: str) -> list[str]:
         """Chunks whose matches, one after another, are those of the text."""
         if not self.chunked or self.odd(text):
@@ -202,7 +212,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decode_
     fields = [f for f in rows.schema if f.name != "__text"]
     out = T.StructType([*fields, T.StructField("ids", T.BinaryType()), *[T.StructField("decoded", T.BinaryType())] * decode_too])
 
-    def applied(batch: pa.RecordBatch | pa.Table, look_up, pieces: list[bytes], known: dict) -> pa.RecordBatch:
+    def applied(batch: pa.RecordBatch | pa.Table, look_up, known: dict[str, bytes]) -> pa.Table:
         splitter = Splitter(pattern)
         split = [splitter.chunks(x.as_py()) for x in batch.column("__text")]
         if len(known) > SEEN or sum(map(len, known)) > 40 * SEEN:
@@ -210,34 +220,29 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decode_
         new = set().union(*split) - known.keys()
         matches = {c: splitter.match(c) for c in new}
         own = list(set().union(*matches.values()))
-        ids = {w: x.astype("<u4").tobytes() for w, x in zip(own, look_up(own))}
+        ids = dict(zip(own, look_up(own)))
         for c, ws in matches.items():
-            coded = b"".join(map(ids.__getitem__, ws))
-            known[c] = coded, b"".join(map(pieces.__getitem__, np.frombuffer(coded, "<u4").tolist())) if decode_too else b""
-        columns = [batch.column(f.name) for f in fields]
-        for i in range(1 + decode_too):
-            part = {c: known[c][i] for c in set().union(*split)}
-            columns.append(pa.array([b"".join(map(part.__getitem__, x)) for x in split], pa.binary()))
+            known[c] = ids[ws[0]] if len(ws) == 1 else b"".join(map(ids.__getitem__, ws))
+        coded = [b"".join(map(known.__getitem__, x)) for x in split]
+        columns = [*[batch.column(f.name) for f in fields], pa.array(coded, pa.binary())]
+        if decode_too:
+            pieces = pieces_by_id(path)
+            columns.append(pa.array([decoded(x, pieces) for x in coded], pa.binary()))
         return pa.table(columns, names=out.names)
 
-    def pieces_of() -> list[bytes]:
-        found = {i: piece for piece, i in read_ranks(path).items()}
-        return [found.get(i, b"") for i in range(max(found) + 1)]
-
     if n * 12 + n_ids * 4 <= broadcast_bytes:
         shared = spark.sparkContext.broadcast(_packed(words))
 
         def by_broadcast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pieces = pieces_of()
             hashes, starts, flat = shared.value
 
-            def look_up(own: list[str]) -> list[np.ndarray]:
+            def look_up(own: list[str]) -> list[bytes]:
                 at = np.searchsorted(hashes, np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in own), np.uint64, len(own)))
-                return [flat[starts[i] : starts[i + 1]] for i in at]
+                return [flat[low:high] for low, high in zip(starts[at].tolist(), starts[at + 1].tolist())]
 
-            known: dict[str, tuple[bytes, bytes]] = {}
+            known: dict[str, bytes] = {}
             for batch in batches:
-                yield from applied(batch, look_up, pieces, known).to_batches()
+                yield from applied(batch, look_up, known).to_batches()
 
         return rows.mapInArrow(by_broadcast, out)
 
@@ -254,14 +259,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decode_
     by_bucket = dealt.select("__bucket", "__text").mapInArrow(own_words, "__bucket bigint, word binary").distinct().join(words, "word")
 
     def by_shuffle(texts: pa.Table, own: pa.Table) -> pa.Table:
-        found = {w.decode(): np.array(x, "<u4") for w, x in zip(own.column("word").to_pylist(), own.column("ids").to_pylist())}
-        return applied(texts, lambda ws: [found[w] for w in ws], pieces_of(), {})
+        found = {w.decode(): np.array(x, "<u4").tobytes() for w, x in zip(own.column("word").to_pylist(), own.column("ids").to_pylist())}
+        return applied(texts, lambda ws: [found[w] for w in ws], {})
 
     return dealt.groupBy("__bucket").cogroup(by_bucket.groupBy("__bucket")).applyInArrow(by_shuffle, out)
 
 
-def _packed(words: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The dictionary as sorted hashes of words, where each word's ids start, and the ids; its size has been checked."""
+def _packed(words: DataFrame) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """The dictionary as sorted hashes of words, the byte where each word's ids start, and the ids; its size has been checked."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,7 +287,12 @@ def _packed(words: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
     take = np.repeat((begin - starts[:-1]).astype(np.int32), length)
     take += np.arange(len(take), dtype=np.int32)
-    return hashes, starts.astype(np.uint32), flat[take]
+    return hashes, (starts * 4).astype(np.uint32), flat[take].astype("<u4").tobytes()
+
+
+def decoded(ids: bytes, pieces: list[bytes]) -> bytes:
+    """The pieces of little-endian unsigned 32-bit ids, concatenated."""
+    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -290,9 +300,9 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     out = T.StructType([*[f for f in df.schema if f.name != "decoded"], T.StructField("decoded", T.BinaryType())])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = {i: piece for piece, i in read_ranks(path).items()}
+        known = pieces_by_id(path)
         for batch in batches:
-            texts = [b"".join(map(found.__getitem__, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in batch.column(ids)]
+            texts = [decoded(x.as_py() or b"", known) for x in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in out.names[:-1]], pa.array(texts, pa.binary())], names=out.names)
 
     return df.mapInArrow(pieces, out)
