@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mixing, ngrams, quality, secrets, sharding, vectors
+from . import bpe, chat, lines, mixing, ngrams, quality, secrets, sharding, vectors
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.join(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,6 +58,7 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_line_dedup": op2_line_dedup,
     "op3_quality_crf": op3_quality_crf,
     "op5_secret_scan": op5_secret_scan,
     "op6_chat_preferences": op6_chat_preferences,
