@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, lines, mixing, ngrams, quality, secrets, sharding, vectors
+from . import bpe, chat, lines, mixing, ngrams, quality, search, secrets, sharding, vectors
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality_crf": op3_quality_crf,
+    "op4_bm25_top_k": op4_bm25_top_k,
     "op5_secret_scan": op5_secret_scan,
     "op6_chat_preferences": op6_chat_preferences,
     "op7_resharding": op7_resharding,
