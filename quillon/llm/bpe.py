@@ -38,8 +38,7 @@ SEEN = 200_000
 #: Text bytes of a bucket when the dictionary is too large to broadcast.
 BUCKET_BYTES = 32 << 20
 BASE = 1 << 17  # a token id is less
-SLOTS = 131071  # of the pair table; a prime
-MIX = 31337  # a pair's slot is (MIX * left + right) mod SLOTS
+SLOTS = 1 << 17  # of the pair table
 NONE = 1 << 40  # the rank of a pair that is no token
 
 
@@ -66,7 +65,7 @@ def pair_table(path: str) -> str:
         for i in range(1, len(piece)):
             left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
             if left is not None and right is not None:
-                slots[(left * MIX + right) % SLOTS] += [left * BASE + right, rank]
+                slots[(left << 7 ^ left >> 9 ^ right) & SLOTS - 1] += [left * BASE + right, rank]
     return json.dumps(slots, separators=(",", ":"))
 
 
@@ -90,8 +89,8 @@ def fold_merges(word: str, path: str) -> Column:
     rest = 1 << 20
 
     def rank(left: str, right: str) -> str:
-        slot = f"get(t.pairs, cast(({left} * {MIX} + {right}) % {SLOTS} as int))"
-        return f"get({slot}, cast(array_position({slot}, {left} * {BASE} + {right}) as int))"
+        slot = f"get(t.pairs, cast((shiftleft({left}, 7) ^ shiftright({left}, 9) ^ {right}) & {SLOTS - 1} as int))"
+        return f"get({slot}, cast(array_position({slot}, shiftleft({left}, 17) | {right}) as int))"
 
     around = f"array({rank('get(s.ids, at - 2)', 'best')}, {rank('best', 'get(s.ids, at + 1)')})"
     merged = f"""named_struct(
@@ -152,32 +151,36 @@ class Splitter:
         """The matches in a chunk; letters after one space, the usual case, are a single one."""
         return [chunk] if self.chunked and chunk[:1] == " " and chunk[1:].isalpha() else self.find(chunk)
 
-    def chunks(self, text: str) -> list[str]:
-        """Chunks whose matches, one after another, are those of the text."""
+    def parts(self, text: str) -> tuple[str, list[str]]:
+        """A chunk, and chunks without the space that each begins with: their matches, one after another, are the text's."""
         if not self.chunked or self.odd(text):
-            return [text]
+            return text, []
         first, *more = text.split(" ")
-        return [first, *map(" ".__add__, more)]
+        return first, more
 
 
 def distinct_words(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
-    """(word binary): each different match of pattern in the texts, once."""
+    """(word binary): each different match of pattern in the texts, once. Different chunks are found first, then split."""
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter, seen = Splitter(pattern), set()
+        for batch in batches:
+            parts = [splitter.parts(x.as_py()) for x in batch.column(0)]
+            new = set().union(*[more for _, more in parts]) - seen
+            if len(seen) > SEEN or sum(map(len, new)) > 40 * SEEN:
+                seen = set()
+            seen |= new
+            every = [*{first for first, _ in parts}, *map(" ".__add__, new)]
+            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string())], ["chunk"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, seen, words = Splitter(pattern), set(), set()
+        splitter = Splitter(pattern)
         for batch in batches:
-            chunks = set()
-            for value in batch.column(0):
-                chunks.update(splitter.chunks(value.as_py()))
-            chunks -= seen
-            new = set().union(*map(splitter.match, chunks)) - words
-            yield pa.RecordBatch.from_arrays([pa.array([w.encode() for w in new], pa.binary())], ["word"])
-            if len(seen) > SEEN or sum(map(len, chunks)) > 40 * SEEN:
-                seen, words = set(), set()
-            seen |= chunks
-            words |= new
+            words = set().union(*map(splitter.match, batch.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array([w.encode() for w in words], pa.binary())], ["word"])
 
-    return docs.select(F.col(text).alias("text")).filter("text <> ''").mapInArrow(split, "word binary").distinct()
+    found = docs.select(F.col(text).alias("text")).filter("text <> ''").mapInArrow(chunks, "chunk string").distinct()
+    return found.mapInArrow(split, "word binary").distinct()
 
 
 def dictionary(words: DataFrame, path: str) -> DataFrame:
@@ -214,16 +217,17 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decode_
 
     def applied(batch: pa.RecordBatch | pa.Table, look_up, known: dict[str, bytes]) -> pa.Table:
         splitter = Splitter(pattern)
-        split = [splitter.chunks(x.as_py()) for x in batch.column("__text")]
+        split = [splitter.parts(x.as_py()) for x in batch.column("__text")]
         if len(known) > SEEN or sum(map(len, known)) > 40 * SEEN:
             known.clear()
-        new = set().union(*split) - known.keys()
-        matches = {c: splitter.match(c) for c in new}
-        own = list(set().union(*matches.values()))
+        firsts = [splitter.match(first) for first, _ in split]
+        new = {c: splitter.match(" " + c) for c in set().union(*[more for _, more in split]) - known.keys()}
+        own = list(set().union(*firsts, *new.values()))
         ids = dict(zip(own, look_up(own)))
-        for c, ws in matches.items():
-            known[c] = ids[ws[0]] if len(ws) == 1 else b"".join(map(ids.__getitem__, ws))
-        coded = [b"".join(map(known.__getitem__, x)) for x in split]
+        code = ids.__getitem__
+        for c, ws in new.items():
+            known[c] = code(ws[0]) if len(ws) == 1 else b"".join(map(code, ws))
+        coded = [b"".join([*map(code, first), *map(known.__getitem__, more)]) for first, (_, more) in zip(firsts, split)]
         columns = [*[batch.column(f.name) for f in fields], pa.array(coded, pa.binary())]
         if decode_too:
             pieces = pieces_by_id(path)
