@@ -27,6 +27,8 @@ MOST_HASHES = 64
 BLOCK_ROWS = 1024
 BLOCK_SHINGLES = 400_000
 KNOWN_WORDS = 500_000
+#: Candidates are broadcast to fetch their texts up to so many rows (of under 100 bytes); more are shuffled.
+BROADCAST_ROWS = 300_000
 
 
 def choose_bands(similarity: float = SIMILARITY, recall: float = TARGET_RECALL, most_hashes: int = MOST_HASHES) -> tuple[int, int]:
@@ -154,7 +156,8 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, r
     size = label.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     members = settle(label.join(size, "label").select("key", "row", "copies", F.struct("label", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("part")).alias("block")))
     pairs = block_pairs(candidates.join(members.select("key", "block"), "key").select("band", "hash", "block").distinct(), ["band", "hash"])
-    texts = docs.select(row_key().alias("row"), "text").join(members, "row")
+    few = members.count() <= BROADCAST_ROWS
+    texts = docs.select(row_key().alias("row"), "text").join(F.broadcast(members) if few else members, "row")
 
     def verify(t: pa.Table) -> pa.Table:
         shingles = Shingler(words)
