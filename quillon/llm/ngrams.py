@@ -196,9 +196,12 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, re
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
-    """docs without those that a connected group has besides its first (by id, then by a hash of the row); same columns."""
+    """docs without those that a connected group has besides its first (by id, a null one last, then by a hash of the row); same columns.
+
+    Rows repeated with id and text count as copies, without words too.
+    """
     signed, summary = links(docs, similarity, words)
-    rows = signed.filter("n > 0").select("key", F.struct("doc_id", "row").alias("r")).join(summary.select("key", "component"), "key")
+    rows = signed.filter("n > 0").select("key", F.struct(F.col("doc_id").isNull(), "doc_id", "row").alias("r")).join(summary.select("key", "component"), "key")
     first = rows.groupBy("component").agg(F.min("r").alias("r")).select("r.row")
     kept = first.unionByName(signed.filter("n = 0").select("row")).distinct().withColumnRenamed("row", "__row")
     got = docs.withColumn("__row", row_key()).join(kept, "__row").dropDuplicates(["__row"])

@@ -5,7 +5,8 @@ matches (split) and the matches themselves (regexp_extract_all), both leftmost a
 overlapping; offsets are code points, ends exclusive.
 
 The Markov models are bigram models over character classes: one of random strings, one of
-ordinary identifiers, counted over labelled samples with additive smoothing. A token is
+ordinary identifiers, counted over labelled samples; few counts fall back on how common the
+second character is. A token is
 flagged where the mean log-likelihood ratio per transition is over a threshold.
 """
 
@@ -69,16 +70,18 @@ def transition_counts(samples: DataFrame) -> DataFrame:
     return samples.filter("length(token) >= 2").select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
 
 
-def log_ratios(random: DataFrame, ordinary: DataFrame, smooth: float = 0.5) -> list[float]:
+def log_ratios(random: DataFrame, ordinary: DataFrame, smooth: float = 0.5, weight: float = 10.0) -> list[float]:
     """For each pair of CHARS, in order: log P(second | first, random) - log P(second | first, ordinary)."""
     size = len(CHARS)
     at = {c: i for i, c in enumerate(CHARS)}
     tables = []
     for samples in (random, ordinary):
-        counts = [[smooth] * size for _ in range(size)]
+        counts = [[0.0] * size for _ in range(size)]
         for pair, n in transition_counts(samples).filter(F.col("pair").rlike("^[A-Za-z0-9+/_.=-]{2}$")).collect():  # at most len(CHARS) squared rows
             counts[at[pair[0]]][at[pair[1]]] += n
-        tables.append([[math.log(x / sum(row)) for x in row] for row in counts])
+        seen = [smooth + sum(row[i] for row in counts) for i in range(size)]
+        alone = [x / sum(seen) for x in seen]
+        tables.append([[math.log((x + weight * p) / (sum(row) + weight)) for x, p in zip(row, alone)] for row in counts])
     return [a - b for row, other in zip(*tables) for a, b in zip(row, other)]
 
 

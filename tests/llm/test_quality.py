@@ -1,0 +1,51 @@
+import itertools
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from quillon.llm import quality
+from quillon.llm.common import table
+
+
+def test_marginals_are_exact():
+    rng = np.random.default_rng(1)
+    sizes = np.array([1, 3, 5, 2, 1, 4])
+    good, steps = rng.normal(size=sizes.sum()), rng.normal(size=(2, 2))
+    got, pairs = quality.forward_backward(good, sizes, steps)
+    at, total = 0, np.zeros((2, 2))
+    for n in sizes:
+        own, z, want, joint = good[at : at + n], 0.0, np.zeros(n), np.zeros((2, 2))
+        for y in itertools.product((0, 1), repeat=int(n)):
+            w = np.exp(sum(g for g, v in zip(own, y) if v) + sum(steps[a, b] for a, b in zip(y, y[1:])))
+            z += w
+            want += w * np.array(y)
+            for a, b in zip(y, y[1:]):
+                joint[a, b] += w
+        assert np.allclose(got[at : at + n], want / z)
+        total += joint / z
+        at += n
+    assert np.allclose(pairs, total)
+
+
+def test_accuracy_on_held_out_documents(spark, tiny):
+    folder = tiny.replace("sf0.001", "sf0.01")
+    got = quality.digest(table(spark, folder, "documents"), table(spark, folder, "labels")).join(table(spark, folder, "labels"), "doc_id").filter("held_out")
+    right, n, good = got.agg(F.sum((F.col("predicted") == F.col("quality")).cast("int")), F.count(F.lit(1)), F.sum("quality")).first()
+    assert n > 40 and right / n > 0.95 > good / n
+
+
+def test_edges(spark):
+    docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (2, "", "b"), (3, "word " * 30_000, "c"), (None, "a\n\nb", "d"), (5, "!!!\n***", "e")], "doc_id long, text string, SCORE string")
+    none = spark.createDataFrame([(None, 1), (1, None), (2, 0), (2, 1), (3, 7)], "doc_id long, quality int")
+    chain = quality.fit(docs, none)
+    out = quality.score(docs, chain)
+    assert out.columns == ["doc_id", "text", "score"] and np.allclose([r.score for r in out.collect()], 0.5)
+    some = spark.createDataFrame([(i, i % 2) for i in range(1, 6)], "doc_id long, quality int")
+    rows = quality.digest(docs, some).collect()
+    assert len(rows) == 6 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    assert quality.score(docs.limit(0), chain).collect() == []
+
+
+def test_neighbours_matter():
+    x, _, n = quality.line_features(["good line here\n*** ### $$$\nanother good line", "*** ### $$$"])
+    assert n.tolist() == [3, 1] and not np.allclose(x[1], x[3])
