@@ -40,6 +40,7 @@ BUCKET_BYTES = 32 << 20
 BASE = 1 << 17  # a token id is less
 SLOTS = 1 << 17  # of the pair table
 NONE = 1 << 40  # the rank of a pair that is no token
+ID = 1 << 41  # added to ids, to tell them from ranks
 
 
 @lru_cache(2)
@@ -75,31 +76,30 @@ def _let(name: str, value: str, body: str) -> str:
 
 
 def fold_merges(word: str, path: str) -> Column:
-    """The ids of a binary word, by ranked merges over its byte array.
+    """The ids of a word given as its array of bytes (a column's name), by ranked merges.
 
-    The fold's state is the ids so far, between two ids that merge with nothing, and
-    the rank of each adjacent pair (NONE where it is no token). A step merges the
-    leftmost pair of lowest rank, whose rank is the new id, and looks up the two
-    pairs that arise.
+    The fold's state is one array: ids (from ID up), and between two ids the rank of their
+    pair (NONE where it is no token); an id that merges with nothing stands at each end.
+    So the least element is the pair to merge, and its rank is the new id. A step takes the
+    leftmost such pair and looks up the two pairs that arise.
 
     It is written as SQL text: the parser's expressions evaluate faster than those
     that the Column functions build.
     """
     ranks = read_ranks(path)
-    rest = 1 << 20
+    edge, rest, mask = ID + BASE - 1, 1 << 20, BASE - 1
 
     def rank(left: str, right: str) -> str:
         slot = f"get(t.pairs, cast((shiftleft({left}, 7) ^ shiftright({left}, 9) ^ {right}) & {SLOTS - 1} as int))"
         return f"get({slot}, cast(array_position({slot}, shiftleft({left}, 17) | {right}) as int))"
 
-    around = f"array({rank('get(s.ids, at - 2)', 'best')}, {rank('best', 'get(s.ids, at + 1)')})"
-    merged = f"""named_struct(
-        'ids', concat(slice(s.ids, 1, at - 1), array(best), slice(s.ids, at + 2, {rest})),
-        'pairs', concat(slice(s.pairs, 1, at - 2), {around}, slice(s.pairs, at + 2, {rest})))"""
-    step = _let("best", "array_min(s.pairs)", f"if(best = {NONE}L, s, {_let('at', 'cast(array_position(s.pairs, best) as int)', merged)})")
-    singles = f"transform(sequence(1, octet_length({word})), i -> get(t.singles, cast(conv(substring(hex({word}), i * 2 - 1, 2), 16, 10) as int)))"
-    start = _let("x", f"concat(array({BASE - 1}L), {singles}, array({BASE - 1}L))", f"named_struct('ids', x, 'pairs', zip_with(slice(x, 1, size(x) - 1), slice(x, 2, {rest}), (l, r) -> {rank('l', 'r')}))")
-    folded = f"aggregate(sequence(1, octet_length({word})), {start}, (s, _) -> {step}, s -> slice(s.ids, 2, size(s.ids) - 2))"
+    before, after = f"(get(s, at - 4) & {mask})", f"(get(s, at + 2) & {mask})"
+    merged = f"concat(slice(s, 1, at - 3), array({rank(before, 'best')}, best | {ID}L, {rank('best', after)}), slice(s, at + 3, {rest}))"
+    step = _let("best", "array_min(s)", f"if(best >= {NONE}L, s, {_let('at', 'cast(array_position(s, best) as int)', merged)})")
+    singles = f"concat(array({BASE - 1}L), transform({word}, x -> get(t.singles, x)), array({BASE - 1}L))"
+    pairs = f"flatten(zip_with(slice(x, 1, size(x) - 1), slice(x, 2, {rest}), (l, r) -> array({rank('l', 'r')}, r | {ID}L)))"
+    start = _let("x", singles, f"concat(array({edge}L), {pairs})")
+    folded = f"aggregate({word}, {start}, (s, _) -> {step}, s -> transform(filter(s, x -> x >= {ID}L and x < {edge}L), x -> cast(x & {mask} as int)))"
     singles_json = json.dumps([ranks[bytes([b])] for b in range(256)])
     tables = f"""from_json('{{"pairs":{pair_table(path)},"singles":{singles_json}}}', 'pairs array<array<bigint>>, singles array<bigint>')"""
     return F.expr(_let("t", tables, folded))  # one copy of the tables in the plan
@@ -192,7 +192,14 @@ def dictionary(words: DataFrame, path: str) -> DataFrame:
             ids = [merge_long(w.as_py(), ranks) for w in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
-    short = words.filter(F.octet_length("word") <= LONG_WORD).select("word", fold_merges("word", path).cast("array<int>").alias("ids"))
+    def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0)
+            flat = np.frombuffer(b"".join(words.to_pylist()), np.uint8).astype(np.int32)
+            ends = np.cumsum([0, *map(len, words.to_pylist())]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([words, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["word", "bytes"])
+
+    short = words.filter(F.octet_length("word") <= LONG_WORD).mapInArrow(bytes_of, "word binary, bytes array<int>").select("word", fold_merges("bytes", path).alias("ids"))
     return short.unionByName(words.filter(F.octet_length("word") > LONG_WORD).mapInArrow(by_heap, "word binary, ids array<int>"))
 
 
