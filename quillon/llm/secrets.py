@@ -57,7 +57,8 @@ def random_samples(spark: SparkSession, n: int = TRAIN_RANDOM) -> DataFrame:
 
 def ordinary_samples(docs: DataFrame, n_documents: int = TRAIN_DOCUMENTS) -> DataFrame:
     """(token): strings labelled ordinary: words and their joins by _ . - / =, from a bounded set of documents chosen by hash."""
-    chosen = docs.select("doc_id", "text").filter("text <> ''").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_documents)
+    ids = docs.filter("text <> ''").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_documents)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most n_documents rows
     words = F.filter(F.split("text", r"[^A-Za-z]+"), lambda w: F.length(w) >= 2)
     some = F.slice(words, 1, 400)
     joins = F.array(*[F.array_join(F.slice(words, 1 + 6 * i, 6), sep) for i, sep in enumerate("_.-/=")])
