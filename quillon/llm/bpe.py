@@ -34,7 +34,7 @@ LONG_WORD = 256
 #: The dictionary is broadcast up to so many bytes; beyond, texts and their words meet in buckets by shuffle.
 BROADCAST_BYTES = 160 << 20
 #: Different chunks and words that a task remembers, so as not to handle them again.
-SEEN = 200_000
+SEEN = 400_000
 #: Text bytes of a bucket when the dictionary is too large to broadcast.
 BUCKET_BYTES = 32 << 20
 BASE = 1 << 17  # a token id is less
@@ -147,9 +147,9 @@ class Splitter:
         self.chunked = " ?\\p{L}+" in pattern and pattern.endswith("|\\s+(?!\\S)|\\s+")
         self.odd = re.compile(r" \s|\s ").search
 
-    def match(self, chunk: str) -> list[str]:
-        """The matches in a chunk; letters after one space, the usual case, are a single one."""
-        return [chunk] if self.chunked and chunk[:1] == " " and chunk[1:].isalpha() else self.find(chunk)
+    def after_space(self, rest: str) -> list[str]:
+        """The matches in a space and rest; of letters alone, the usual case, there is one."""
+        return [" " + rest] if self.chunked and rest.isalpha() else self.find(" " + rest)
 
     def parts(self, text: str) -> tuple[str, list[str]]:
         """A chunk, and chunks without the space that each begins with: their matches, one after another, are the text's."""
@@ -176,7 +176,7 @@ def distinct_words(docs: DataFrame, pattern: str, text: str = "text") -> DataFra
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(pattern)
         for batch in batches:
-            words = set().union(*map(splitter.match, batch.column(0).to_pylist()))
+            words = set().union(*(splitter.after_space(c[1:]) if c[:1] == " " else splitter.find(c) for c in batch.column(0).to_pylist()))
             yield pa.RecordBatch.from_arrays([pa.array([w.encode() for w in words], pa.binary())], ["word"])
 
     found = docs.select(F.col(text).alias("text")).filter("text <> ''").mapInArrow(chunks, "chunk string").distinct()
@@ -227,8 +227,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decode_
         split = [splitter.parts(x.as_py()) for x in batch.column("__text")]
         if len(known) > SEEN or sum(map(len, known)) > 40 * SEEN:
             known.clear()
-        firsts = [splitter.match(first) for first, _ in split]
-        new = {c: splitter.match(" " + c) for c in set().union(*[more for _, more in split]) - known.keys()}
+        firsts = [splitter.find(first) for first, _ in split]
+        new = {c: splitter.after_space(c) for c in set().union(*[more for _, more in split]) - known.keys()}
         own = list(set().union(*firsts, *new.values()))
         ids = dict(zip(own, look_up(own)))
         code = ids.__getitem__
