@@ -93,9 +93,9 @@ def fold_merges(word: str, path: str) -> Column:
         slot = f"get(t.pairs, cast((shiftleft({left}, 7) ^ shiftright({left}, 9) ^ {right}) & {SLOTS - 1} as int))"
         return f"get({slot}, cast(array_position({slot}, shiftleft({left}, 17) | {right}) as int))"
 
-    before, after = f"(get(s, at - 4) & {mask})", f"(get(s, at + 2) & {mask})"
-    merged = f"concat(slice(s, 1, at - 3), array({rank(before, 'best')}, best | {ID}L, {rank('best', after)}), slice(s, at + 3, {rest}))"
-    step = _let("best", "array_min(s)", f"if(best >= {NONE}L, s, {_let('at', 'cast(array_position(s, best) as int)', merged)})")
+    best, before, after = "get(s, at - 1)", f"(get(s, at - 4) & {mask})", f"(get(s, at + 2) & {mask})"
+    merged = f"concat(slice(s, 1, at - 3), array({rank(before, best)}, {best} | {ID}L, {rank(best, after)}), slice(s, at + 3, {rest}))"
+    step = _let("at", "cast(array_position(s, array_min(s)) as int)", f"if({best} >= {NONE}L, s, {merged})")
     singles = f"concat(array({BASE - 1}L), transform({word}, x -> get(t.singles, x)), array({BASE - 1}L))"
     pairs = f"flatten(zip_with(slice(x, 1, size(x) - 1), slice(x, 2, {rest}), (l, r) -> array({rank('l', 'r')}, r | {ID}L)))"
     start = _let("x", singles, f"concat(array({edge}L), {pairs})")
