@@ -245,10 +245,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decode_
         shared = spark.sparkContext.broadcast(_packed(words))
 
         def by_broadcast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, starts, flat = shared.value
+            hashes, length, ids = shared.value
+            starts, flat = np.concatenate([[0], np.cumsum(length, dtype=np.int64) * 4]), ids.astype("<u4").tobytes()
 
             def look_up(own: list[str]) -> list[bytes]:
-                at = np.searchsorted(hashes, np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in own), np.uint64, len(own)))
+                at = np.searchsorted(hashes, np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in own), np.uint64, len(own)).view(np.int64))
                 return [flat[low:high] for low, high in zip(starts[at].tolist(), starts[at + 1].tolist())]
 
             known: dict[str, bytes] = {}
@@ -276,29 +277,25 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decode_
     return dealt.groupBy("__bucket").cogroup(by_bucket.groupBy("__bucket")).applyInArrow(by_shuffle, out)
 
 
-def _packed(words: DataFrame) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """The dictionary as sorted hashes of words, the byte where each word's ids start, and the ids; its size has been checked."""
+def _packed(words: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The dictionary as sorted hashes of words, how many ids each has, and the ids; its size has been checked.
+
+    It is sorted and packed on the executors, so that the driver holds it about twice and no more.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            flat = np.fromiter((i for x in ids for i in x), np.uint32)
-            parts = [batch.column("h").to_numpy().tobytes(), np.array([len(x) for x in ids], np.uint32).tobytes(), flat.tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], ["h", "n", "ids"])
-
-    got = words.select(F.xxhash64("word").alias("h"), "ids").mapInArrow(pack, "h binary, n binary, ids binary").toArrow()
-    hashes, length, flat = (np.frombuffer(b"".join(x.as_py() for x in got.column(c)), kind) for c, kind in (("h", np.uint64), ("n", np.uint32), ("ids", np.uint32)))
-    del got
-    order = np.argsort(hashes)
-    hashes = hashes[order]
-    if (hashes[1:] == hashes[:-1]).any():
+            ids = batch.column("ids")
+            parts = [batch.column("h").to_numpy(), np.diff(ids.offsets.to_numpy()).astype(np.uint32), ids.flatten().to_numpy().astype(kind)]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["h", "n", "ids"])
+
+    most = words.agg(F.max(F.array_max("ids"))).first()[0] or 0
+    kind = np.uint16 if most < 1 << 16 else np.uint32
+    got = words.select(F.xxhash64("word").alias("h"), "ids").orderBy("h").mapInArrow(pack, "h binary, n binary, ids binary").toArrow()
+    hashes, length, ids = (np.frombuffer(b"".join(x.as_py() for x in got.column(c)), k) for c, k in (("h", np.int64), ("n", np.uint32), ("ids", kind)))
+    if (hashes[1:] <= hashes[:-1]).any():
         raise ValueError("two words share a 64-bit hash")
-    begin = (np.cumsum(length, dtype=np.int64) - length)[order]
-    length = length[order]
-    starts = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
-    take = np.repeat((begin - starts[:-1]).astype(np.int32), length)
-    take += np.arange(len(take), dtype=np.int32)
-    return hashes, (starts * 4).astype(np.uint32), flat[take].astype("<u4").tobytes()
+    return hashes, length, ids
 
 
 def decoded(ids: bytes, pieces: list[bytes]) -> bytes:
