@@ -39,7 +39,6 @@ SEEN = 400_000
 BUCKET_BYTES = 32 << 20
 BASE = 1 << 17  # a token id is less
 SLOTS = 1 << 17  # of the pair table
-NONE = 1 << 40  # the rank of a pair that is no token
 ID = 1 << 41  # added to ids, to tell them from ranks
 
 
@@ -57,16 +56,20 @@ def pieces_by_id(path: str) -> list[bytes | None]:
 
 @lru_cache(2)
 def pair_table(path: str) -> str:
-    """JSON of SLOTS lists: NONE, then pair and merged id of each pair in that slot; a pair (l, r) is l * BASE + r."""
+    """JSON of SLOTS lists. One with pairs has null first, then -1 - left and the merged id of each pair (left, right) there.
+
+    A pair's slot and left tell its right. What is found at place 0, where a pair is missing, is null.
+    """
     ranks = read_ranks(path)
     if max(ranks.values()) >= BASE - 1:
         raise ValueError(f"ids must be below {BASE - 1}")
-    slots: list[list[int]] = [[NONE] for _ in range(SLOTS)]
+    slots: list[list[int | None]] = [[] for _ in range(SLOTS)]
     for piece, rank in ranks.items():
         for i in range(1, len(piece)):
             left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
             if left is not None and right is not None:
-                slots[(left << 7 ^ left >> 9 ^ right) & SLOTS - 1] += [left * BASE + right, rank]
+                slot = slots[(left << 7 ^ left >> 9 ^ right) & SLOTS - 1]
+                slot += [-1 - left, rank] if slot else [None, -1 - left, rank]
     return json.dumps(slots, separators=(",", ":"))
 
 
@@ -79,7 +82,7 @@ def fold_merges(word: str, path: str) -> Column:
     """The ids of a word given as its array of bytes (a column's name), by ranked merges.
 
     The fold's state is one array: ids (from ID up), and between two ids the rank of their
-    pair (NONE where it is no token); an id that merges with nothing stands at each end.
+    pair (null where it is no token); an id that merges with nothing stands at each end.
     So the least element is the pair to merge, and its rank is the new id. A step takes the
     leftmost such pair and looks up the two pairs that arise.
 
@@ -91,11 +94,11 @@ def fold_merges(word: str, path: str) -> Column:
 
     def rank(left: str, right: str) -> str:
         slot = f"get(t.pairs, cast((shiftleft({left}, 7) ^ shiftright({left}, 9) ^ {right}) & {SLOTS - 1} as int))"
-        return f"get({slot}, cast(array_position({slot}, shiftleft({left}, 17) | {right}) as int))"
+        return f"get({slot}, cast(array_position({slot}, -1L - {left}) as int))"
 
     best, before, after = "get(s, at - 1)", f"(get(s, at - 4) & {mask})", f"(get(s, at + 2) & {mask})"
     merged = f"concat(slice(s, 1, at - 3), array({rank(before, best)}, {best} | {ID}L, {rank(best, after)}), slice(s, at + 3, {rest}))"
-    step = _let("at", "cast(array_position(s, array_min(s)) as int)", f"if({best} >= {NONE}L, s, {merged})")
+    step = _let("at", "cast(array_position(s, array_min(s)) as int)", f"if({best} >= {ID}L, s, {merged})")
     singles = f"concat(array({BASE - 1}L), transform({word}, x -> get(t.singles, x)), array({BASE - 1}L))"
     pairs = f"flatten(zip_with(slice(x, 1, size(x) - 1), slice(x, 2, {rest}), (l, r) -> array({rank('l', 'r')}, r | {ID}L)))"
     start = _let("x", singles, f"concat(array({edge}L), {pairs})")
@@ -213,6 +216,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decode_
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 16))  # plans hold the rank map, which their texts would repeat
     plain = settle(distinct_words(docs, pattern, text))
     words = settle(dictionary(plain, path))
     discard(plain)
