@@ -34,7 +34,7 @@ LONG_WORD = 256
 #: The dictionary is broadcast up to so many bytes; beyond, texts and their words meet in buckets by shuffle.
 BROADCAST_BYTES = 160 << 20
 #: Different chunks and words that a task remembers, so as not to handle them again.
-SEEN = 400_000
+SEEN = 200_000
 #: Text bytes of a bucket when the dictionary is too large to broadcast.
 BUCKET_BYTES = 32 << 20
 BASE = 1 << 17  # a token id is less
