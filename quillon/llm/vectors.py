@@ -42,14 +42,17 @@ def usable() -> Column:
 
 
 def centroids(classes: DataFrame, most: int = SAMPLE, cluster_rows: int = CLUSTER_ROWS) -> dict:
-    """By label: unit centroids, one for each cluster_rows rows, fitted on a bounded sample."""
+    """By label: unit centroids, one for each cluster_rows rows, fitted on a bounded sample; a label without rows in it isn't there."""
     sizes = dict(classes.groupBy("label").count().collect())
     total = sum(sizes.values())
     want = {k: max(1, min(round(n / cluster_rows), MOST_CENTROIDS * n // total)) for k, n in sizes.items()}
     sample = classes.select("label", "key", "embedding").orderBy(F.xxhash64("key")).limit(most).collect()
     out = {}
     for label, k in want.items():
-        x = _unit([r.embedding for r in sample if r.label == label] or [[1.0]])
+        own = [r.embedding for r in sample if r.label == label]
+        if not own:
+            continue
+        x = _unit(own)
         c = x[: min(k, len(x))]
         for _ in range(6):
             nearest = (x @ c.T).argmax(1)
@@ -156,7 +159,10 @@ def links(vectors: DataFrame, similarity: float = SIMILARITY, overlap: int = OVE
         for t in batches:
             t["clusters"] = None
             for label, part in t.groupby("label"):
-                c = shared.value[label]
+                c = shared.value.get(label)
+                if c is None:  # too few rows for the sample: one cluster
+                    t.loc[part.index, "clusters"] = pd.Series([[0]] * len(part), part.index)
+                    continue
                 top = np.argsort(-(_unit(list(part.embedding)) @ c.T), 1, kind="stable")[:, :overlap]
                 t.loc[part.index, "clusters"] = pd.Series([sorted(map(int, x)) for x in top], part.index)
             yield t

@@ -56,3 +56,13 @@ def test_a_group_larger_than_a_block(spark, monkeypatch):
 
 def test_empty(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
+
+
+def test_a_label_outside_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(vectors.centroids, "__defaults__", (20, vectors.CLUSTER_ROWS))
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8).tolist(), 1) for i in range(400)]
+    x = rng.normal(size=8).tolist()
+    rows += [(1000 + i, (np.array(x) * (1 + i)).tolist(), 2 + i // 2) for i in range(6)]
+    got = {r.vec_id: r for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert len(got) == 406 and [got[1000 + i].component_id for i in range(6)] == [1000, 1000, 1002, 1002, 1004, 1004]
