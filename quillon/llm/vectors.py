@@ -3,8 +3,9 @@
 Vectors are compared within a label. Each goes to its nearest clusters (they overlap);
 a cluster's members form blocks of bounded size. Every block builds a graph of its own,
 neighbours robustly pruned; a vector's adjacency lists from its blocks are united. A
-pair of blocks is then searched by one task: greedy search from the medoid, for all
-vectors side by side, then expanded through whatever lies in range. Links found are
+pair of blocks is then searched by one task: greedy search from start nodes that reach all
+others (and from a vector's own node, in its own block), for all vectors side by side, then
+expanded through whatever lies in range. Links found are
 verified in double precision. Tasks return counts and spanning forests, never pairs.
 """
 
@@ -29,6 +30,11 @@ MOST_CENTROIDS = 4096
 SAMPLE = 20_000
 BLOCK_ROWS = 1500
 DEGREE = 20
+#: Neighbours of each vector from all over its block, besides the near ones; with reverse edges a node has up to WIDEST.
+FAR = 4
+WIDEST = 3 * DEGREE
+#: Start nodes spread over a block, besides those that reach all others.
+SEEDS = 32
 BEAM = 24
 #: Search goes on through nodes so much below the range.
 SLACK = 0.02
@@ -70,17 +76,30 @@ def _unit(rows) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def prune(x: np.ndarray, degree: int = DEGREE, alpha: float = 1.2) -> np.ndarray:
-    """Robust-pruned neighbours of each vector, padded by itself: a candidate goes if a kept neighbour is alpha times nearer to it."""
+def prune(x: np.ndarray, degree: int = DEGREE, alpha: float = 1.2, far: int = FAR) -> np.ndarray:
+    """Robust-pruned neighbours of each vector, padded by itself: a candidate goes if a kept neighbour is alpha times nearer to it.
+
+    ``degree`` of them come from the nearest, and ``far`` from the others, which a group of near vectors would not let in.
+    """
     n = len(x)
     similarity = x @ x.T
     np.fill_diagonal(similarity, -2)
     width = min(n - 1, 3 * degree)
-    out = np.repeat(np.arange(n)[:, None], degree, 1)
     if width < 1:
-        return out
-    near = np.argpartition(-similarity, width - 1, 1)[:, :width]
-    near = np.take_along_axis(near, np.argsort(-np.take_along_axis(similarity, near, 1), 1, kind="stable"), 1)
+        return np.repeat(np.arange(n)[:, None], degree, 1)
+    order = np.argsort(-similarity, 1, kind="stable")[:, : n - 1]
+    chosen = [_chosen(similarity, order[:, :width], degree, alpha)]
+    if n - 1 > width:
+        # Other places for each row, so that the far edges of a group lead to different ones.
+        step = (n - 1 - width) / width if n - 1 > 2 * width else 1
+        at = width + ((np.arange(min(width, n - 1 - width)) * step).astype(int) + np.arange(n)[:, None]) % (n - 1 - width)
+        chosen.append(_chosen(similarity, np.take_along_axis(order, at, 1), far, alpha))
+    return np.hstack(chosen)
+
+
+def _chosen(similarity: np.ndarray, near: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    n, width = near.shape
+    out = np.repeat(np.arange(n)[:, None], degree, 1)
     distance = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(similarity, near, 1)))
     open_ = np.ones((n, width), bool)
     rows = np.arange(n)
@@ -97,22 +116,52 @@ def prune(x: np.ndarray, degree: int = DEGREE, alpha: float = 1.2) -> np.ndarray
     return out
 
 
-def search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, radius: float, beam: int = BEAM) -> np.ndarray:
-    """A matrix of queries by nodes: whether range-expanding greedy search from the medoid found the node within radius."""
+def with_reverse(lists: list[list[int]], widest: int = WIDEST) -> np.ndarray:
+    """The graph of the lists, padded by the nodes themselves, with reverse edges while a node has under ``widest``."""
+    both = [list(own) for own in lists]
+    for i, own in enumerate(lists):
+        for j in own:
+            if len(both[j]) < widest:
+                both[j].append(i)
+    wide = max(1, max(map(len, both)))
+    return np.array([(own + [i] * wide)[:wide] for i, own in enumerate(both)])
+
+
+def starts(x: np.ndarray, graph: np.ndarray, seeds: int = SEEDS) -> np.ndarray:
+    """Nodes from which the graph's edges lead to every node: the medoid, then that of what is not reached yet; and some spread ones."""
+    n = len(x)
+    reached = np.zeros(n, bool)
+    out = []
+    while not reached.all():
+        left = np.flatnonzero(~reached)
+        front = left[[int((x[left] @ x[left].mean(0)).argmax())]]
+        out.append(int(front[0]))
+        while len(front):
+            reached[front] = True
+            front = np.unique(graph[front])
+            front = front[~reached[front]]
+    return np.unique([*out, *range(0, n, max(1, n // seeds))])
+
+
+def search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, radius: float, beam: int = BEAM, own: bool = False) -> np.ndarray:
+    """A matrix of queries by nodes: whether range-expanding greedy search from starts() found the node within radius.
+
+    own: the queries are the nodes, in order, and each search starts from its own node too.
+    """
     n, q = len(x), len(queries)
-    mean = x.mean(0)
-    medoid = int((x @ mean).argmax())
+    first_ = starts(x, graph)
     beam = min(beam, n)
     seen = np.zeros((q, n), bool)
     score = np.full((q, n), -np.inf, np.float32)
     rows = np.arange(q)
-    seen[:, medoid] = True
-    score[:, medoid] = queries @ x[medoid]
-    listed = np.full((q, beam), medoid)
-    value = np.full((q, beam), -np.inf, np.float32)
-    value[:, 0] = score[:, medoid]
-    done = np.ones((q, beam), bool)
-    done[:, 0] = False
+    seen[:, first_] = True
+    score[:, first_] = queries @ x[first_].T
+    if own:
+        seen[rows, rows] = True
+        score[rows, rows] = np.einsum("rd,rd->r", queries, x)
+    listed = np.argpartition(-score, beam - 1, 1)[:, :beam]
+    value = np.take_along_axis(score, listed, 1)
+    done = value == -np.inf
     active = rows
     while len(active):
         at = np.where(done[active], -np.inf, value[active]).argmax(1)
@@ -197,20 +246,18 @@ def links(vectors: DataFrame, similarity: float = SIMILARITY, overlap: int = OVE
                 continue
             at = {int(k): i for i, k in enumerate(key[nodes])}
             lists_ = [[at[k] for k in t.column("next")[int(i)].as_py() if k in at] for i in nodes]
-            wide = max(1, max(map(len, lists_)))
-            graph = np.array([(own_ + [i] * wide)[:wide] for i, own_ in enumerate(lists_)])
-            near[np.ix_(asking, nodes)] |= search(x[nodes].astype(np.float32), graph, x[asking].astype(np.float32), similarity)
+            near[np.ix_(asking, nodes)] |= search(x[nodes].astype(np.float32), with_reverse(lists_), x[asking].astype(np.float32), similarity, own=asking is nodes)
         near |= near.T
         np.fill_diagonal(near, False)
         a, b = np.nonzero(near)
         # Verified in double precision. A pair that meets in several clusters counts in the lowest.
         both = np.array(t.column("clusters").to_pylist())
         lower = (both[a][:, :, None] == both[b][:, None, :]) & (both[a] < cluster)[:, :, None]
-        fine = (np.einsum("rd,rd->r", x[a], x[b]) >= similarity) & ~lower.any((1, 2))
-        a, b = a[fine], b[fine]
-        root = forest(a, b, len(key))
-        sums = np.bincount(a, copies[b].astype(np.float64), len(key)).astype(np.int64)
-        own_ = np.flatnonzero(sums)
+        fine = np.einsum("rd,rd->r", x[a], x[b]) >= similarity
+        root = forest(a[fine], b[fine], len(key))  # all pairs found join groups
+        fine, linked = fine & ~lower.any((1, 2)), np.unique(a[fine])
+        sums = np.bincount(a[fine], copies[b[fine]].astype(np.float64), len(key)).astype(np.int64)
+        own_ = linked
         return pa.table({"u": key[own_], "v": key[root[own_]], "links": sums[own_]})
 
     found = paired_rows(own, pairs).groupBy("pair").applyInArrow(find, "u bigint, v bigint, links bigint")

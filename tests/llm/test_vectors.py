@@ -66,3 +66,41 @@ def test_a_label_outside_the_sample(spark, monkeypatch):
     rows += [(1000 + i, (np.array(x) * (1 + i)).tolist(), 2 + i // 2) for i in range(6)]
     got = {r.vec_id: r for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
     assert len(got) == 406 and [got[1000 + i].component_id for i in range(6)] == [1000, 1000, 1002, 1002, 1004, 1004]
+
+
+def _groups(groups, size, pairs, seed, dim=64):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(groups + pairs, dim))
+    of = np.r_[np.repeat(np.arange(groups), size), np.repeat(np.arange(groups, groups + pairs), 2)]
+    x = base[of] + rng.normal(size=(len(of), dim)) * 0.03
+    return x / np.linalg.norm(x, axis=1, keepdims=True), of
+
+
+def test_groups_larger_than_the_nearest_looked_at():
+    for groups, size, pairs in ((1, 500, 500), (20, 70, 0), (10, 100, 200)):
+        x, of = _groups(groups, size, pairs, 7)
+        graph = vectors.with_reverse([[j for j in own if j != i] for i, own in enumerate(vectors.prune(x).tolist())])
+        reached = np.zeros(len(x), bool)
+        reached[vectors.starts(x, graph)] = True
+        for _ in range(len(x)):
+            reached[graph[reached]] = True
+        assert reached.all()
+        true = x @ x.T >= 0.98
+        y = x.astype(np.float32)
+        for own in (True, False):  # as a block of its own, and as another block's vectors ask
+            found = vectors.search(y, graph, y, 0.98, own=own) & true
+            recall = (found | found.T).sum(1) / true.sum(1)
+            print(groups, size, pairs, own, recall.mean(), recall.min())
+            assert recall.mean() >= (0.99 if own else 0.95)
+
+
+def test_recall_by_vector_with_skewed_labels(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 400)
+    x, _ = _groups(4, 150, 150, 8)
+    rows = [(i, v.tolist(), 1 if i % 10 else 2) for i, v in enumerate(x)]
+    labels = np.array([r[2] for r in rows])
+    true = ((x @ x.T >= 0.98) & (labels[:, None] == labels)).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    share = [got[i] / n for i, n in enumerate(true) if n]
+    print(np.mean(share))
+    assert max(share) <= 1 and np.mean(share) >= 0.97
