@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # 18 or more: a longer run would have to begin with an earlier AKIA
 HEX = r"[0-9a-f]{16,}"
-#: What the models look at: runs of the characters of secrets. Shorter runs are too short to tell.
-CANDIDATE = r"[A-Za-z0-9+/_.=-]{20,}"
+#: What the models look at: runs of the characters of secrets, as long as an assigned one at least.
+CANDIDATE = r"[A-Za-z0-9+/_.=-]{12,}"
 CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 KINDS = ("assign", "access", "hex", "markov")
 #: Ordinary identifiers are learned from at most so many documents.
@@ -56,13 +56,15 @@ def random_samples(spark: SparkSession, n: int = TRAIN_RANDOM) -> DataFrame:
 
 
 def ordinary_samples(docs: DataFrame, n_documents: int = TRAIN_DOCUMENTS) -> DataFrame:
-    """(token): strings labelled ordinary: words and their joins by _ . - / =, from a bounded set of documents chosen by hash."""
+    """(token): strings labelled ordinary: all words of the texts and their joins by _ . - / =, from a bounded set of documents chosen by hash."""
     ids = docs.filter("text <> ''").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_documents)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most n_documents rows
     words = F.filter(F.split("text", r"[^A-Za-z]+"), lambda w: F.length(w) >= 2)
-    some = F.slice(words, 1, 400)
-    joins = F.array(*[F.array_join(F.slice(words, 1 + 6 * i, 6), sep) for i, sep in enumerate("_.-/=")])
-    return chosen.select(F.explode(F.concat(some, joins)).alias("token")).filter("length(token) >= 2")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(words.alias("words"))  # at most n_documents rows
+    places = F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    # Six words a join, the five separators in turn; a place's own separator comes before it.
+    pieces = F.transform(places, lambda x: F.concat(F.when(x["i"] % 6 == 0, " ").otherwise(F.substring(F.lit("_.-/="), (F.floor(x["i"] / 6) % 5 + 1).cast("int"), F.lit(1))), x["w"]))
+    joins = F.split(F.ltrim(F.array_join(pieces, "")), " ")
+    return chosen.select(F.explode(F.concat("words", joins)).alias("token")).filter("length(token) >= 2")
 
 
 def transition_counts(samples: DataFrame) -> DataFrame:

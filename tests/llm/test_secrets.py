@@ -45,3 +45,24 @@ def test_models_tell_random_from_ordinary(spark):
 
 def test_empty(spark):
     assert secrets.digest(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_short_random_runs_are_scored(spark, tiny):
+    rng = random.Random(9)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    tokens = ["".join(rng.choice(chars) for _ in range(n)) for n in (12, 14, 16, 18, 19) for _ in range(40)]
+    plain = ["understanding", "international", "one_of_the_others", "the.inside.of"]
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    ratios = secrets.log_ratios(secrets.random_samples(spark), secrets.ordinary_samples(docs))
+    df = spark.createDataFrame([(i, f"the {t} is") for i, t in enumerate(tokens + plain)], "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == 3] for r in secrets.scan(df, ratios).collect()}
+    assert sum(got[i] == [(4, 4 + len(t))] for i, t in enumerate(tokens)) >= 0.98 * len(tokens)
+    assert all(got[len(tokens) + i] == [] for i in range(len(plain)))
+
+
+def test_whole_texts_are_learned_from(spark):
+    letters = "abcdefghij"
+    words = ["x" + letters[i // 100] + letters[i // 10 % 10] + letters[i % 10] for i in range(1000)]
+    df = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    got = [r.token for r in secrets.ordinary_samples(df).collect()]
+    assert got[:1000] == words and got[1000:] == ["_.-/="[i // 6 % 5].join(words[i : i + 6]) for i in range(0, 1000, 6)]
