@@ -14,12 +14,12 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import re
 from functools import lru_cache
 from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 
@@ -35,6 +35,14 @@ LONG_WORD = 256
 BROADCAST_BYTES = 160 << 20
 #: Different chunks and words that a task remembers, so as not to handle them again.
 SEEN = 200_000
+#: Bytes of texts that are split at once.
+BATCH_BYTES = 16 << 20
+#: White space, for Arrow's regular expressions.
+SPACE = "\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}"
+#: Marks that are neither letters, digits nor white space; no apostrophe, as words may begin with one.
+MARKS = ".,;:!?*#$%&()[]{}|/+=<>~^_-"
+#: Words of a task of the fold, and of what the driver takes in at once of the dictionary.
+FOLD_WORDS, PACK_WORDS = 50_000, 400_000
 #: Text bytes of a bucket when the dictionary is too large to broadcast.
 BUCKET_BYTES = 32 << 20
 BASE = 1 << 17  # a token id is less
@@ -48,12 +56,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
 
 
-@lru_cache(2)
-def pieces_by_id(path: str) -> list[bytes | None]:
-    found = {i: piece for piece, i in read_ranks(path).items()}
-    return [found.get(i) for i in range(max(found) + 1)]
-
-
 @lru_cache(2)
 def pair_table(path: str) -> str:
     """JSON of SLOTS lists. One with pairs has null first, then -1 - left and the merged id of each pair (left, right) there.
@@ -147,43 +149,81 @@ class Splitter:
 
     def __init__(self, pattern: str):
         self.find = regex.compile(pattern).findall
-        self.chunked = " ?\\p{L}+" in pattern and pattern.endswith("|\\s+(?!\\S)|\\s+")
-        self.odd = re.compile(r" \s|\s ").search
-
-    def after_space(self, rest: str) -> list[str]:
-        """The matches in a space and rest; of letters alone, the usual case, there is one."""
-        return [" " + rest] if self.chunked and rest.isalpha() else self.find(" " + rest)
-
-    def parts(self, text: str) -> tuple[str, list[str]]:
-        """A chunk, and chunks without the space that each begins with: their matches, one after another, are the text's."""
-        if not self.chunked or self.odd(text):
-            return text, []
-        first, *more = text.split(" ")
-        return first, more
+        self.chunked = " ?\\p{L}+" in pattern and " ?[^\\s\\p{L}\\p{N}]+" in pattern and pattern.endswith("|\\s+(?!\\S)|\\s+")
+
+    def parts(self, texts: pa.Array) -> tuple[np.ndarray, list[str], list[str], np.ndarray]:
+        """Codes of the texts' chunks one after another, the different first chunks of texts (codes from 0), the different other
+        ones without the space that each begins with (codes after those), and where each text's codes begin (and the last end)."""
+        if self.chunked:
+            rest = pc.if_else(pc.match_substring_regex(texts, f" [{SPACE}]|[{SPACE}] "), "", texts)
+            split = pc.split_pattern(rest, " ")
+            begin = split.offsets.to_numpy() - split.offsets[0].as_py()
+            every = split.flatten()
+            is_first = np.zeros(len(every), bool)
+            is_first[begin[:-1]] = True
+            more = every.filter(pa.array(~is_first)).dictionary_encode()
+            firsts = pc.if_else(pc.equal(rest, ""), texts, every.filter(pa.array(is_first))).dictionary_encode()
+        else:
+            begin = np.arange(len(texts) + 1)
+            is_first = np.ones(len(texts), bool)
+            firsts, more = texts.dictionary_encode(), pa.array([], pa.string()).dictionary_encode()
+        codes = np.empty(len(is_first), np.int32)
+        codes[is_first] = firsts.indices.to_numpy()
+        codes[~is_first] = more.indices.to_numpy() + len(firsts.dictionary)
+        return codes, firsts.dictionary.to_pylist(), more.dictionary.to_pylist(), begin
+
+    def words(self, firsts: list[str], rests: list[str]) -> tuple[list[str], list[int]]:
+        """The matches in the first chunks and in the others (with their space), and how many each has."""
+        out: list[str] = []
+        counts: list[int] = []
+        for chunk in firsts:
+            found = self.find(chunk)
+            out += found
+            counts.append(len(found))
+        for rest in rests:
+            if rest.isalpha():  # the usual case: letters alone
+                out.append(" " + rest)
+                counts.append(1)
+                continue
+            head = rest.rstrip(MARKS)
+            if head.isalpha():  # and letters with marks after them
+                out.append(" " + head)
+                out.append(rest[len(head) :])
+                counts.append(2)
+            else:
+                found = self.find(" " + rest)
+                out += found
+                counts.append(len(found))
+        return out, counts
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with up to ``most`` bytes in the column (or of one row)."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < len(ends):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most, "right")))
+        yield batch.slice(low, high - low)
+        low = high
 
 
 def distinct_words(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
-    """(word binary): each different match of pattern in the texts, once. Different chunks are found first, then split."""
-
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, seen = Splitter(pattern), set()
-        for batch in batches:
-            parts = [splitter.parts(x.as_py()) for x in batch.column(0)]
-            new = set().union(*[more for _, more in parts]) - seen
-            if len(seen) > SEEN or sum(map(len, new)) > 40 * SEEN:
-                seen = set()
-            seen |= new
-            every = [*{first for first, _ in parts}, *map(" ".__add__, new)]
-            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string())], ["chunk"])
+    """(word binary): each different match of pattern in the texts, once. A task splits each different chunk once."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(pattern)
+        splitter, chunks, seen = Splitter(pattern), set(), set()
         for batch in batches:
-            words = set().union(*(splitter.after_space(c[1:]) if c[:1] == " " else splitter.find(c) for c in batch.column(0).to_pylist()))
-            yield pa.RecordBatch.from_arrays([pa.array([w.encode() for w in words], pa.binary())], ["word"])
+            for part in slices(batch, "text"):
+                _, firsts, rests, _ = splitter.parts(part.column(0))
+                if len(chunks) > SEEN or len(seen) > SEEN:
+                    chunks, seen = set(), set()
+                new = set(rests) - chunks
+                found = set(splitter.words(firsts, list(new))[0]) - seen
+                chunks.update(x for x in new if len(x) < LONG_WORD)
+                seen.update(x for x in found if len(x) < LONG_WORD)
+                yield pa.RecordBatch.from_arrays([pa.array([w.encode() for w in found], pa.binary())], ["word"])
 
-    found = docs.select(F.col(text).alias("text")).filter("text <> ''").mapInArrow(chunks, "chunk string").distinct()
-    return found.mapInArrow(split, "word binary").distinct()
+    return docs.select(F.col(text).cast("string").alias("text")).filter("text <> ''").mapInArrow(split, "word binary").distinct()
 
 
 def dictionary(words: DataFrame, path: str) -> DataFrame:
@@ -202,6 +242,7 @@ def dictionary(words: DataFrame, path: str) -> DataFrame:
             ends = np.cumsum([0, *map(len, words.to_pylist())]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([words, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["word", "bytes"])
 
+    words = words.repartition(count_of(words.count(), FOLD_WORDS))
     short = words.filter(F.octet_length("word") <= LONG_WORD).mapInArrow(bytes_of, "word binary, bytes array<int>").select("word", fold_merges("bytes", path).alias("ids"))
     return short.unionByName(words.filter(F.octet_length("word") > LONG_WORD).mapInArrow(by_heap, "word binary, ids array<int>"))
 
@@ -220,91 +261,149 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decode_
     plain = settle(distinct_words(docs, pattern, text))
     words = settle(dictionary(plain, path))
     discard(plain)
-    n, n_ids = words.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
+    n, n_ids, most = words.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ids")), F.lit(0)), F.coalesce(F.max(F.array_max("ids")), F.lit(0))).first()
     kept = [c for c in docs.columns if c.lower() not in {text.lower(), "ids", "decoded"} and not c.startswith("__")]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text), F.lit("")).alias("__text"))
     fields = [f for f in rows.schema if f.name != "__text"]
     out = T.StructType([*fields, T.StructField("ids", T.BinaryType()), *[T.StructField("decoded", T.BinaryType())] * decode_too])
 
-    def applied(batch: pa.RecordBatch | pa.Table, look_up, known: dict[str, bytes]) -> pa.Table:
+    def applied(batch: pa.RecordBatch | pa.Table, look_up) -> pa.RecordBatch:
+        """look_up: the ids (binary array) of different words."""
         splitter = Splitter(pattern)
-        split = [splitter.parts(x.as_py()) for x in batch.column("__text")]
-        if len(known) > SEEN or sum(map(len, known)) > 40 * SEEN:
-            known.clear()
-        firsts = [splitter.find(first) for first, _ in split]
-        new = {c: splitter.after_space(c) for c in set().union(*[more for _, more in split]) - known.keys()}
-        own = list(set().union(*firsts, *new.values()))
-        ids = dict(zip(own, look_up(own)))
-        code = ids.__getitem__
-        for c, ws in new.items():
-            known[c] = code(ws[0]) if len(ws) == 1 else b"".join(map(code, ws))
-        coded = [b"".join([*map(code, first), *map(known.__getitem__, more)]) for first, (_, more) in zip(firsts, split)]
-        columns = [*[batch.column(f.name) for f in fields], pa.array(coded, pa.binary())]
+        codes, firsts, rests, begin = splitter.parts(batch.column("__text"))
+        words, counts = splitter.words(firsts, rests)
+        own = pa.array(words, pa.string()).dictionary_encode()
+        of_words = look_up(own.dictionary.to_pylist()).take(own.indices)
+        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        of_chunks = rebound(of_words, ends)
+        coded = rebound(of_chunks.take(pa.array(codes)), begin)
+        columns = [*[batch.column(f.name) for f in fields], coded]
         if decode_too:
-            pieces = pieces_by_id(path)
-            columns.append(pa.array([decoded(x, pieces) for x in coded], pa.binary()))
-        return pa.table(columns, names=out.names)
+            columns.append(pieces_of(coded, path))
+        return pa.RecordBatch.from_arrays(columns, names=out.names)
 
     if n * 12 + n_ids * 4 <= broadcast_bytes:
-        shared = spark.sparkContext.broadcast(_packed(words))
+        shared = spark.sparkContext.broadcast(_packed(words, n, n_ids, most))
+        discard(words)
 
         def by_broadcast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, length, ids = shared.value
-            starts, flat = np.concatenate([[0], np.cumsum(length, dtype=np.int64) * 4]), ids.astype("<u4").tobytes()
+            hashes, starts, ids = shared.value
 
-            def look_up(own: list[str]) -> list[bytes]:
+            def look_up(own: list[str]) -> pa.Array:
                 at = np.searchsorted(hashes, np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in own), np.uint64, len(own)).view(np.int64))
-                return [flat[low:high] for low, high in zip(starts[at].tolist(), starts[at + 1].tolist())]
+                low = starts[at].astype(np.int64)
+                ends = np.concatenate([[0], np.cumsum(starts[at + 1] - low)])
+                flat = ids[np.repeat(low - ends[:-1], np.diff(ends)) + np.arange(ends[-1])].astype("<u4")
+                return binary(ends * 4, pa.py_buffer(flat.tobytes()))
 
-            known: dict[str, bytes] = {}
             for batch in batches:
-                yield from applied(batch, look_up, known).to_batches()
+                for part in slices(batch, "__text"):
+                    yield applied(part, look_up)
 
         return rows.mapInArrow(by_broadcast, out)
 
     total = rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     buckets = count_of(total, BUCKET_BYTES)
-    dealt = rows.withColumn("__bucket", F.pmod(F.xxhash64("__text"), F.lit(buckets)))
+    # By all columns that can be hashed, so that copies of a text don't all meet in one bucket.
+    hashed = [F.col(f"`{f.name}`") for f in rows.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    dealt = rows.withColumn("__bucket", F.pmod(F.xxhash64(*hashed), F.lit(buckets)))
 
     def own_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = regex.compile(pattern).findall
+        splitter = Splitter(pattern)
         for batch in batches:
-            seen = {(b, w) for b, x in zip(batch.column("__bucket").to_pylist(), batch.column("__text")) for w in match(x.as_py())}
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in seen], pa.int64()), pa.array([w.encode() for _, w in seen], pa.binary())], ["__bucket", "word"])
+            by = batch.column("__bucket").to_numpy()
+            for bucket in np.unique(by):
+                _, firsts, rests, _ = splitter.parts(batch.column("__text").filter(pa.array(by == bucket)))
+                words = [w.encode() for w in set(splitter.words(firsts, rests)[0])]
+                yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(words), pa.int64()), pa.array(words, pa.binary())], ["__bucket", "word"])
 
     by_bucket = dealt.select("__bucket", "__text").mapInArrow(own_words, "__bucket bigint, word binary").distinct().join(words, "word")
 
     def by_shuffle(texts: pa.Table, own: pa.Table) -> pa.Table:
         found = {w.decode(): np.array(x, "<u4").tobytes() for w, x in zip(own.column("word").to_pylist(), own.column("ids").to_pylist())}
-        return applied(texts, lambda ws: [found[w] for w in ws], {})
+        look_up = lambda ws: pa.array([found[w] for w in ws], pa.binary())
+        done = [applied(part, look_up) for batch in texts.combine_chunks().to_batches() for part in slices(batch, "__text")]
+        return pa.Table.from_batches(done)
 
     return dealt.groupBy("__bucket").cogroup(by_bucket.groupBy("__bucket")).applyInArrow(by_shuffle, out)
 
 
-def _packed(words: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The dictionary as sorted hashes of words, how many ids each has, and the ids; its size has been checked.
+def binary(ends: np.ndarray, data: pa.Buffer) -> pa.Array:
+    """A binary array by where its values begin (and the last ends) in data."""
+    if ends[-1] >= 1 << 31:
+        raise ValueError("over 2 GB in a batch")
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), data])
+
+
+def rebound(parts: pa.Array, begin: np.ndarray) -> pa.Array:
+    """The parts of an array without offset, joined: value i is made of parts begin[i] to begin[i + 1]."""
+    data = parts.buffers()[2] or pa.py_buffer(b"")
+    return binary(np.frombuffer(parts.buffers()[1], np.int32, len(parts) + 1)[begin] if len(parts) else np.zeros(len(begin), np.int32), data)
+
 
-    It is sorted and packed on the executors, so that the driver holds it about twice and no more.
+def pieces_of(coded: pa.Array, path: str) -> pa.Array:
+    """The tokens' pieces of arrays of ids (little-endian, 32 bits), concatenated. Unknown ids raise."""
+    if not len(coded):
+        return coded
+    ends = np.frombuffer(coded.buffers()[1], np.int32, len(coded) + 1, 4 * coded.offset)
+    ids = np.frombuffer(coded.buffers()[2] or b"", "<u4", (ends[-1] - ends[0]) // 4, ends[0])
+    pieces = piece_array(path).take(pa.array(ids, pa.uint32()))
+    if pieces.null_count:
+        raise ValueError("unknown id")
+    return rebound(pieces, (ends - ends[0]) // 4)
+
+
+@lru_cache(2)
+def piece_array(path: str) -> pa.Array:
+    found = {i: piece for piece, i in read_ranks(path).items()}
+    return pa.array([found.get(i) for i in range(max(found) + 1)], pa.binary())
+
+
+def _packed(words: DataFrame, n: int, n_ids: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The dictionary as sorted hashes of words, where the ids of each begin (and the last end), and the ids; its size has been checked.
+
+    It is sorted and packed on the executors, a row for each partition, and comes row by row, so
+    that the driver holds it once.
     """
 
+    kind = np.uint16 if most < 1 << 16 else np.uint32
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[list[bytes]] = [[], [], []]
         for batch in batches:
+            if not batch.num_rows:
+                continue
             ids = batch.column("ids")
-            parts = [batch.column("h").to_numpy(), np.diff(ids.offsets.to_numpy()).astype(np.uint32), ids.flatten().to_numpy().astype(kind)]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["h", "n", "ids"])
-
-    most = words.agg(F.max(F.array_max("ids"))).first()[0] or 0
-    kind = np.uint16 if most < 1 << 16 else np.uint32
-    got = words.select(F.xxhash64("word").alias("h"), "ids").orderBy("h").mapInArrow(pack, "h binary, n binary, ids binary").toArrow()
-    hashes, length, ids = (np.frombuffer(b"".join(x.as_py() for x in got.column(c)), k) for c, k in (("h", np.int64), ("n", np.uint32), ("ids", kind)))
-    if (hashes[1:] <= hashes[:-1]).any():
+            for x, own in zip((batch.column("h").to_numpy(), np.diff(ids.offsets.to_numpy()).astype(np.uint32), ids.flatten().to_numpy().astype(kind)), got):
+                own.append(x.tobytes())
+        if got[0]:
+            low = int(np.frombuffer(got[0][0], np.int64)[0])
+            yield pa.RecordBatch.from_arrays([pa.array([low]), *[pa.array([b"".join(x)], pa.binary()) for x in got]], ["low", "h", "n", "ids"])
+
+    hashes, starts, ids = np.empty(n, np.int64), np.zeros(n + 1, np.uint32), np.empty(n_ids, kind)
+    by_hash = words.select(F.xxhash64("word").alias("h"), "ids").repartitionByRange(count_of(n, PACK_WORDS), "h").sortWithinPartitions("h")
+    rows = settle(by_hash.mapInArrow(pack, "low long, h binary, n binary, ids binary"))
+    files: list[list[str]] = []
+    room = 0
+    for r in rows.select("low", F.octet_length("n").alias("size"), F.input_file_name().alias("file")).orderBy("low").collect():  # a row for each partition
+        if r.size > room:
+            files.append([])
+            room = 4 * PACK_WORDS
+        files[-1].append(r.file)
+        room -= r.size
+    at = id_at = 0
+    for some in files:
+        for r in sorted(words.sparkSession.read.schema(rows.schema).parquet(*some).collect(), key=lambda r: r.low):
+            length = np.frombuffer(r.n, np.uint32)
+            hashes[at : at + len(length)] = np.frombuffer(r.h, np.int64)
+            ends = id_at + np.cumsum(length, dtype=np.int64)
+            starts[at + 1 : at + 1 + len(length)] = ends
+            ids[id_at : ends[-1]] = np.frombuffer(r.ids, kind)
+            at, id_at = at + len(length), int(ends[-1])
+    discard(rows)
+    if at != n or id_at != n_ids or (hashes[1:] <= hashes[:-1]).any():
         raise ValueError("two words share a 64-bit hash")
-    return hashes, length, ids
-
-
-def decoded(ids: bytes, pieces: list[bytes]) -> bytes:
-    """The pieces of little-endian unsigned 32-bit ids, concatenated."""
-    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    return hashes, starts, ids
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -312,10 +411,9 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     out = T.StructType([*[f for f in df.schema if f.name != "decoded"], T.StructField("decoded", T.BinaryType())])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pieces_by_id(path)
         for batch in batches:
-            texts = [decoded(x.as_py() or b"", known) for x in batch.column(ids)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in out.names[:-1]], pa.array(texts, pa.binary())], names=out.names)
+            for part in slices(batch, ids):
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in out.names[:-1]], pieces_of(part.column(ids).fill_null(b""), path)], names=out.names)
 
     return df.mapInArrow(pieces, out)
 
