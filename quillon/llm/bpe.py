@@ -242,7 +242,6 @@ def dictionary(words: DataFrame, path: str) -> DataFrame:
             ends = np.cumsum([0, *map(len, words.to_pylist())]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([words, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["word", "bytes"])
 
-    words = words.repartition(count_of(words.count(), FOLD_WORDS))
     short = words.filter(F.octet_length("word") <= LONG_WORD).mapInArrow(bytes_of, "word binary, bytes array<int>").select("word", fold_merges("bytes", path).alias("ids"))
     return short.unionByName(words.filter(F.octet_length("word") > LONG_WORD).mapInArrow(by_heap, "word binary, ids array<int>"))
 
@@ -259,8 +258,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decode_
     spark = docs.sparkSession
     spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 16))  # plans hold the rank map, which their texts would repeat
     plain = settle(distinct_words(docs, pattern, text))
-    words = settle(dictionary(plain, path))
+    # Dealt evenly beforehand: with an exchange in the fold's own plan, the driver would hear of that plan, rank map and all, again and again.
+    even = settle(plain.repartition(count_of(plain.count(), FOLD_WORDS)))
     discard(plain)
+    words = settle(dictionary(even, path))
+    discard(even)
     n, n_ids, most = words.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ids")), F.lit(0)), F.coalesce(F.max(F.array_max("ids")), F.lit(0))).first()
     kept = [c for c in docs.columns if c.lower() not in {text.lower(), "ids", "decoded"} and not c.startswith("__")]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text), F.lit("")).alias("__text"))
