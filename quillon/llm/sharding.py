@@ -1,10 +1,12 @@
 """Resharding by minimum-cost flow.
 
-Rows of the old shards form blocks by size class. Flow goes from the blocks through
+Rows of the old shards form blocks by size class, cut at the size of the row that has to be the last to leave its shard
+(rows of just that size are a block of their own). Flow goes from the blocks through
 the new shards, whose capacities are row counts at most one apart; staying costs
 nothing and moving a row costs its block's mean bytes. The cheapest flow says how many
-rows of each block go where; rows find their shard by their number in their block, and
-the files of shards that give or take rows are written anew.
+rows of each block go where, lighter rows leaving first; rows find their shard by their number in their block, and
+the files of shards that give or take rows are written anew. As a shard's blocks either leave whole, stay whole, or are of
+one size, no other rows would move fewer bytes.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import heapq
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import drop_clashing, number_rows, settle
 
@@ -98,7 +101,7 @@ def solve_transfers(blocks: dict[tuple[int, int], tuple[int, int]], new_shards:
     room = [[j, flow.through(a)] for j, a in enumerate(arrive)]
     out: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for key in keys:
-        parts = [(key[0], flow.through(stay[key]))] if key in stay else []
+        parts = []
         going = flow.through(leave[key])
         while going:
             j, free = room[-1]
@@ -108,6 +111,8 @@ def solve_transfers(blocks: dict[tuple[int, int], tuple[int, int]], new_shards:
                 room[-1][1] -= take
             if not room[-1][1]:
                 room.pop()
+        if key in stay:
+            parts.append((key[0], flow.through(stay[key])))
         out[key] = [(j, n) for j, n in parts if n]
     return out
 
@@ -116,15 +121,28 @@ def reshard(rows: DataFrame, old: Column, size: Column, ident: tuple[str, ...],
     """rows with ``old_shard``, ``shard`` (0 to new_shards - 1, row counts at most one apart) and ``slot`` (0, 1, ... in a shard).
 
     old: each row's old shard, an integer >= 0 (not null); size: its bytes (null: 0).
-    The bytes moved are the fewest for rows counted at their block's mean.
+    The bytes moved are the fewest.
     Columns of rows named like outputs or beginning with ``__`` give way; repeated
     rows are rows of their own; an empty table gives an empty one.
     """
     spark = rows.sparkSession
     rows = drop_clashing(rows.withColumn("__old", old.cast("int")).withColumn("__size", F.coalesce(size, F.lit(0)).cast("long")), ["old_shard", "shard", "slot"])
-    rows = rows.withColumn("__class", F.floor(F.log2(F.col("__size") + 1) * CLASSES_PER_DOUBLING).cast("int"))
+    per_size = settle(rows.groupBy("__old", "__size").agg(F.count(F.lit(1)).alias("n")))
+    upto = per_size.withColumn("__upto", F.sum("n").over(W.partitionBy("__old").orderBy("__size")))
+    counts = {r[0]: r[1] for r in per_size.groupBy("__old").agg(F.sum("n")).collect()}  # a row for each old shard
+    least = sum(counts.values()) // new_shards
+    # If a shard ends with the least rows, rows up to this size leave it.
+    over = {i: n - least for i, n in counts.items() if n > least and i < new_shards}
+    last = {}
+    if over:
+        wanted = spark.createDataFrame(sorted(over.items()), "__old int, __over long")
+        last = {r[0]: r[1] for r in upto.join(F.broadcast(wanted), "__old").filter("__upto >= __over and __upto - n < __over").select("__old", "__size").collect()}
+    at = spark.createDataFrame(sorted(last.items()), "__old int, __last long")
+    rows = rows.join(F.broadcast(at), "__old", "left")
+    side = F.coalesce(F.signum(F.col("__size") - F.col("__last")), F.lit(0)).cast("int") + 1
+    rows = rows.withColumn("__class", F.floor(F.log2(F.col("__size") + 1) * CLASSES_PER_DOUBLING).cast("int") * 3 + side).drop("__last")
     rows = rows.withColumn("__block", F.concat_ws(":", "__old", "__class"))
-    found = rows.groupBy("__old", "__class").agg(F.count(F.lit(1)), F.sum("__size")).collect()  # at most 128 classes a shard
+    found = rows.groupBy("__old", "__class").agg(F.count(F.lit(1)), F.sum("__size")).collect()  # at most 130 classes a shard
     blocks = {(r[0], r[1]): (r[2], r[3]) for r in found}
     moves = solve_transfers(blocks, new_shards) if blocks else {}
     cuts, per_shard = [], [0] * new_shards
@@ -134,8 +152,11 @@ def reshard(rows: DataFrame, old: Column, size: Column, ident: tuple[str, ...],
             cuts.append((f"{i}:{c}", low, low + n, j))
             per_shard[j] += n
             low += n
-    sizes = spark.createDataFrame([(f"{i}:{c}", n) for (i, c), (n, _) in blocks.items()], "__block string, n long")
-    ranked = number_rows(rows, "__block", list(ident), F.broadcast(sizes), "__rank")
+    # Rows are numbered by size, so that the lightest of a block leave.
+    own = rows.groupBy("__block", "__size").agg(F.count(F.lit(1)).alias("n"))
+    own = settle(own.select(F.concat_ws(":", "__block", "__size").alias("__kind"), "n", (F.sum("n").over(W.partitionBy("__block").orderBy("__size")) - F.col("n")).alias("__from")))
+    ranked = number_rows(rows.withColumn("__kind", F.concat_ws(":", "__block", "__size")), "__kind", list(ident), own.select("__kind", "n"), "__rank")
+    ranked = ranked.join(own.drop("n"), "__kind").withColumn("__rank", F.col("__from") + F.col("__rank")).drop("__kind", "__from")
     plan = spark.createDataFrame(cuts, "__b string, __low long, __high long, shard int")
     placed = ranked.join(F.broadcast(plan), (F.col("__block") == F.col("__b")) & (F.col("__rank") >= F.col("__low")) & (F.col("__rank") < F.col("__high")))
     placed = placed.drop("__b", "__low", "__high", "__rank", "__block", "__class", "__size")

@@ -51,6 +51,31 @@ def test_law_and_slots(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, sharding.digest(rows(spark)).collect()))
 
 
+def test_the_fewest_bytes_move(spark):
+    """Against all rows: each shard over its count loses its lightest, and the places left over go where they save most."""
+    rng = random.Random(8)
+    data = [(i, "x" * rng.choice([3, 3, 7, rng.randrange(900)]), "big" if i < 500 else f"s{i % 7}") for i in range(1300)]
+    got = sharding.digest(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    held = {}
+    for r in got:
+        held.setdefault(r.old_shard, []).append(r.size)
+    least, more = divmod(len(got), sharding.NEW_SHARDS)
+    fewest, saved = 0, []
+    for sizes in held.values():
+        if len(sizes) > least:
+            sizes.sort()
+            fewest += sum(sizes[: len(sizes) - least])
+            saved.append(sizes[len(sizes) - least - 1])
+    fewest -= sum(sorted(saved)[::-1][:more])
+    assert sum(r.size for r in got if r.shard != r.old_shard) == fewest > 0
+
+
+def test_nothing_to_rewrite(spark, tmp_path):
+    df = spark.createDataFrame([(i, i % 4) for i in range(40)], "doc_id long, old int")
+    done = sharding.reshard(df, F.col("old"), F.lit(5), ("doc_id",), 4)
+    assert sharding.rewrite_affected(done, str(tmp_path / "out")) == []
+
+
 def test_affected_files(spark, tmp_path):
     df = rows(spark)
     done = sharding.reshard(df, sharding.old_layout(df), F.octet_length("text"), ("doc_id", "source"), 4)
