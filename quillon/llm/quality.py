@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
-from .common import drop_clashing, small_batches
+from .common import discard, drop_clashing, settle, small_batches
 
-#: Trained on at most so many labelled documents (whole texts), chosen by a hash of the id.
-TRAIN_DOCUMENTS = 4000
+#: Trained on at most so many labelled documents (whole texts), chosen by a hash of the id, and on so many bytes of features.
+TRAIN_DOCUMENTS, TRAIN_BYTES = 4000, 256 << 20
 ROUNDS = 150
 PENALTY = 1e-3
 PREDICT_FROM = 0.3
@@ -86,8 +87,8 @@ class Chain:
     steps: np.ndarray
 
 
-def forward_backward(good: np.ndarray, per_text: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each line's marginal of being good, from its log-odds; and the expected label pairs, 2 x 2, over all texts.
+def forward_backward(good: np.ndarray, per_text: np.ndarray, steps: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's marginal of being good, from its log-odds; and the expected label pairs, 2 x 2, over all texts (each by its weight).
 
     Texts of similar length go through the chain side by side.
     """
@@ -118,25 +119,26 @@ def forward_backward(good: np.ndarray, per_text: np.ndarray, steps: np.ndarray)
         out[place[inside]] = np.clip(marginal[inside], 0, 1)
         if longest > 1:
             joint = alpha[:, :-1, :, None] + steps + (emit + beta)[:, 1:, None, :] - whole[:, None, None, None]
-            pairs += np.exp(joint[inside[:, 1:]]).sum(0)
+            each = inside[:, 1:] if weight is None else inside[:, 1:] * weight[own][:, None]
+            pairs += np.einsum("nt,ntij->ij", each, np.where(inside[:, 1:, None, None], np.exp(np.minimum(joint, 0)), 0))
         at = upto
     return out, pairs
 
 
 def train(x: np.ndarray, per_text: np.ndarray, quality: np.ndarray, rounds: int = ROUNDS, penalty: float = PENALTY) -> Chain:
-    """Penalised maximum likelihood by Adam; every line has its document's label. Texts count alike, whatever their lines."""
+    """Penalised maximum likelihood by Adam; every line has its document's label. A text's likelihood counts by one over its lines, so texts count alike."""
     x = x.astype(np.float64)
     y = np.repeat(quality, per_text).astype(np.float64)
-    share = np.repeat(1 / per_text, per_text) / max(1, len(per_text))
+    weight = 1 / per_text / max(1, len(per_text))
+    share = np.repeat(weight, per_text)
     theta = np.zeros(x.shape[1] + 4)
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     inner = np.zeros((2, 2))
-    np.add.at(inner, (quality, quality), per_text - 1)
-    pairs_n = max(1, inner.sum())
+    np.add.at(inner, (quality, quality), weight * (per_text - 1))
     for i in range(1, rounds + 1):
         steps = theta[-4:].reshape(2, 2)
-        p, pairs = forward_backward(x @ theta[:-4], per_text, steps)
-        slope = np.concatenate([x.T @ (share * (y - p)), (inner - pairs).ravel() / pairs_n]) - penalty * theta
+        p, pairs = forward_backward(x @ theta[:-4], per_text, steps, weight)
+        slope = np.concatenate([x.T @ (share * (y - p)), (inner - pairs).ravel()]) - penalty * theta
         mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope**2
         theta = theta + 0.15 * (mean / (1 - 0.9**i)) / (np.sqrt(square / (1 - 0.99**i)) + 1e-8)
         theta[-4:] = np.clip(theta[-4:], -1.5, 1.5)  # one label a document would drive these without bound
@@ -175,16 +177,21 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS) -> Chai
     usable = labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)").filter(~held_out())
     usable = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("__q")).filter("quality = __q").drop("__q")
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `most` rows
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `most` ids
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, quality, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "quality", "text"))):
                 x, _, per_text = line_features([text])
-                yield pa.RecordBatch.from_pydict({"doc_id": [doc], "quality": pa.array([quality], pa.int32()), "n": pa.array(per_text, pa.int64()), "x": [x.tobytes()]})
-
-    got = texts.mapInArrow(features, T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("quality int, n long, x binary").fields])).collect()
-    got = sorted(got, key=lambda r: (r.doc_id, r.x))[:most]
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc], batch.schema.field("doc_id").type), "quality": pa.array([quality], pa.int32()), "n": pa.array(per_text, pa.int64()), "x": [x.tobytes()]})
+
+    kinds_ = [docs.schema["doc_id"], T.StructField("quality", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("x", T.BinaryType())]
+    # One row of an id, whatever repeats, and of those the first by hash that fit: at most `most` rows and TRAIN_BYTES come to the driver.
+    found = settle(texts.mapInArrow(features, T.StructType(kinds_)).groupBy("doc_id").agg(F.min(F.struct("x", "n", "quality")).alias("r")).select("doc_id", "r.*"))
+    upto = F.sum(F.octet_length("x")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    got = found.withColumn("upto", upto).filter(F.col("upto") <= TRAIN_BYTES).drop("upto").collect()
+    discard(found)
+    got = sorted(got, key=lambda r: (r.doc_id, r.x))
     width = line_features([""])[0].shape[1]
     if not got:
         return Chain(np.zeros(width), np.zeros((2, 2)))
