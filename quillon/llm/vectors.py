@@ -264,14 +264,14 @@ def links(vectors: DataFrame, similarity: float = SIMILARITY, overlap: int = OVE
     return keyed.select("vec_id", "key"), summarize_links(found, classes.select("key", "copies", "ident"))
 
 
-def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, overlap: int = OVERLAP) -> DataFrame:
+def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, overlap: int = OVERLAP, cluster_rows: int = CLUSTER_ROWS) -> DataFrame:
     """One row for each row of vectors (vec_id, label, embedding): vec_id, n_links, component_id, kept.
 
     Vectors link if their labels are equal and their cosine is at least ``similarity``; equal vectors
     always do. Rows that usable() leaves out link with nothing and are their own component. Vectors
     of a label must have one length. Repeated rows count as equal vectors.
     """
-    keyed, summary = links(vectors, similarity, overlap)
+    keyed, summary = links(vectors, similarity, overlap, cluster_rows)
     known = keyed.join(summary, "key").select("vec_id", "n_links", "class_id")
     others = vectors.filter(~usable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("class_id"))
     out = known.unionByName(others)

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from quillon.llm import vectors
 
@@ -29,12 +30,12 @@ def brute(rows):
     return n, root
 
 
-def test_links(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "CLUSTER_ROWS", 60)
+@pytest.mark.parametrize("cluster_rows", [1000, 20])
+def test_links(spark, cluster_rows):
     rows = corpus()
     n, root = brute(rows)
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int, key int")
-    out = vectors.near_duplicates(df)
+    out = vectors.near_duplicates(df, cluster_rows=cluster_rows)
     got = {r.vec_id: r for r in out.collect()}
     assert set(got) == set(n)
     assert all(got[i].n_links <= n[i] for i in n) and sum(r.n_links for r in got.values()) >= 0.97 * sum(n.values()) > 0
