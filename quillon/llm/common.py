@@ -108,10 +108,13 @@ def count_of(rows: int, each: int) -> int:
 
 
 def block_pairs(touch: DataFrame, group: list[str]) -> DataFrame:
-    """(a, b): the different pairs of blocks (a <= b, of any type) that meet in some ``group``; touch has group and ``block``."""
-    sets = touch.groupBy(*group).agg(F.array_sort(F.collect_set("block")).alias("s"))
-    pairs = sets.select(F.explode(F.flatten(F.transform("s", lambda a, i: F.transform(F.slice("s", i + 1, F.size("s")), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p"))
-    return pairs.select("p.a", "p.b").distinct()
+    """(a, b): the different pairs of blocks (a <= b, of any type) that meet in some ``group``; touch has group and ``block``.
+
+    A join streams them, so that the pairs of a group's many blocks are never one row.
+    """
+    met = touch.select(*group, "block").distinct()
+    pairs = met.withColumnRenamed("block", "a").join(met.withColumnRenamed("block", "b"), group).filter("a <= b")
+    return pairs.select("a", "b").distinct()
 
 
 def paired_rows(members: DataFrame, pairs: DataFrame) -> DataFrame:

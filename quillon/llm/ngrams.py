@@ -157,14 +157,10 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, r
     members = settle(label.join(size, "label").select("key", "row", "copies", F.struct("label", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("part")).alias("block")))
     pairs = block_pairs(candidates.join(members.select("key", "block"), "key").select("band", "hash", "block").distinct(), ["band", "hash"])
     few = members.count() <= BROADCAST_ROWS
-    texts = docs.select(row_key().alias("row"), "text").join(F.broadcast(members) if few else members, "row")
+    texts = docs.select(row_key().alias("row"), "text").join(F.broadcast(members) if few else members, "row").dropDuplicates(["row"])  # a row that comes a million times is compared once
 
     def verify(t: pa.Table) -> pa.Table:
         shingles = Shingler(words)
-        first = {}
-        for i, k in enumerate(t.column("key").to_pylist()):  # repeated rows come more than once
-            first.setdefault(k, i)
-        t = t.take(list(first.values()))
         key, copies, side = (t.column(c).to_numpy() for c in ("key", "copies", "side"))
         sets = [shingles(x.as_py()) for x in t.column("text")]
         size_ = np.array([len(s) for s in sets], np.float64)

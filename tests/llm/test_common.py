@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quillon.llm.common import components, drop_clashing, number_rows, settle
+from quillon.llm.common import block_pairs, components, drop_clashing, number_rows, settle
 
 from .conftest import components as brute
 
@@ -29,3 +29,9 @@ def test_numbers_are_gapless(spark):
 def test_settled_tables_and_clashes(spark):
     df = spark.createDataFrame([(1, "a")], "Ids long, x string")
     assert settle(df).collect() == df.collect() and drop_clashing(df, ["ids"]).columns == ["x"]
+
+
+def test_pairs_of_blocks(spark):
+    touch = [(0, b) for b in range(40)] * 3 + [(1, 3), (1, 50), (2, 60)]
+    got = sorted(map(tuple, block_pairs(spark.createDataFrame(touch, "g long, block long"), ["g"]).collect()))
+    assert got == sorted({(a, b) for a in range(40) for b in range(a, 40)} | {(3, 50), (50, 50), (60, 60)})
