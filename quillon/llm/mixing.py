@@ -9,8 +9,8 @@ share. When a source has no more rows its phase ends, and the others go on by th
 weights among themselves. No row is dropped or repeated.
 
 The schedule repeats after P slots, so the driver solves one period a phase; rows
-find their slots by arithmetic. Where there are too many sources for that, those with the
-most rows are scheduled alone and the others in groups: a group gets its members' weights
+find their slots by arithmetic. The ALONE sources with the most rows are scheduled alone
+and any others in groups: a group gets its members' weights
 together, and its own blocks are ordered by deadline on executors.
 """
 
@@ -30,9 +30,10 @@ BLOCK_ROWS = 64
 WEIGHT_UNITS = 1000
 #: Default weights go with a source's rows to this power, between even (0) and as they are (1).
 TEMPERATURE = 0.5
-#: Of more sources than this the ALONE largest are scheduled alone, the others in GROUPS groups: the schedule is made on the driver.
-MOST_SOURCES = 2000
+#: The ALONE largest sources are scheduled alone, any others in GROUPS groups: the schedule is made on the driver.
 ALONE, GROUPS = 128, 128
+#: The sources' sizes are broadcast up to so many; more are shuffled.
+MOST_SOURCES = 2000
 
 
 @dataclass(frozen=True)
@@ -46,8 +47,11 @@ class Phase:
     last: dict[str, int]  # and the first one that doesn't come here
 
 
-def period_slots(weights: dict[str, int]) -> dict[str, list[int]]:
-    """The slots of each source in one period of sum(weights) slots, by earliest deadline among released blocks."""
+def period_slots(weights: dict[str, int], left: dict[str, int] | None = None) -> dict[str, list[int]]:
+    """The slots of each source in one period of sum(weights) slots, by earliest deadline among released blocks.
+
+    left: the blocks that each source still has; the slots end with the first source to have had its last one.
+    """
     period = sum(weights.values())
     waiting = [(0, s, 0) for s in sorted(weights)]  # release, source, block
     ready: list[tuple[int, str, int]] = []  # deadline, source, block
@@ -61,6 +65,8 @@ def period_slots(weights: dict[str, int]) -> dict[str, list[int]]:
         if deadline <= t:
             raise AssertionError("a block missed its deadline")
         slots[s].append(t)
+        if left and len(slots[s]) == left[s]:
+            break
         if k + 1 < weights[s]:
             heapq.heappush(waiting, ((k + 1) * period // weights[s], s, k + 1))
     return slots
@@ -73,11 +79,12 @@ def schedule(rows: dict[str, int], weights: dict[str, int], block_rows: int) ->
     phases, start = [], 0
     while left := [s for s in blocks if done[s] < blocks[s]]:
         active = {s: weights[s] for s in left if weights[s] > 0} or dict.fromkeys(left, 1)
-        slots, period = period_slots(active), sum(active.values())
+        slots, period = period_slots(active, {s: blocks[s] - done[s] for s in active}), sum(active.values())
         end_of = {}
         for s in active:
             k = blocks[s] - done[s] - 1
-            end_of[s] = k // active[s] * period + slots[s][k % active[s]] + 1
+            if k % active[s] < len(slots[s]):  # else the period was broken off before
+                end_of[s] = k // active[s] * period + slots[s][k % active[s]] + 1
         over = min(end_of, key=end_of.get)
         length = end_of[over]
         first = {s: done[s] for s in active}
@@ -88,27 +95,24 @@ def schedule(rows: dict[str, int], weights: dict[str, int], block_rows: int) ->
     return phases
 
 
-def default_weights(rows: dict[str, int], temperature: float = TEMPERATURE, units: int = WEIGHT_UNITS) -> dict[str, int]:
-    total = sum(n**temperature for n in rows.values())
-    return {s: max(1, round(units * n**temperature / total)) for s, n in rows.items()}
-
-
-def grouped_sources(sizes: DataFrame, weights: dict[str, int] | None) -> DataFrame:
+def grouped_sources(sizes: DataFrame, weights: dict[str, int] | None, temperature: float = TEMPERATURE) -> DataFrame:
     """(mix_source, n, w, __unit): what each source is scheduled as: itself ("=..." or "-"), or a group ("+..." or, of weight 0, "0...")."""
     if weights is None:
-        sizes = sizes.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(TEMPERATURE)))
-    else:
+        sizes = sizes.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(temperature)))
+    elif weights:
         named = [("-" if s is None else "=" + s, float(w)) for s, w in weights.items()]
         sizes = sizes.join(sizes.sparkSession.createDataFrame(named, "mix_source string, w double"), "mix_source", "left").fillna(1.0, ["w"])
+    else:
+        sizes = sizes.withColumn("w", F.lit(1.0))
     largest = sizes.orderBy(F.desc("n"), "mix_source").limit(ALONE).select("mix_source", F.lit(True).alias("__alone"))
     group = F.concat(F.when(F.col("w") > 0, "+").otherwise("0"), F.pmod(F.xxhash64("mix_source"), F.lit(GROUPS)).cast("string"))
     return settle(sizes.join(F.broadcast(largest), "mix_source", "left").select("mix_source", "n", "w", F.when(F.col("__alone"), F.col("mix_source")).otherwise(group).alias("__unit")))
 
 
-def unit_weights(units: dict[str, float]) -> dict[str, int]:
-    """Integers in proportion, ten times as many as units (each at least 1, but 0 stays 0)."""
+def default_weights(units: dict[str, float], period: int = WEIGHT_UNITS) -> dict[str, int]:
+    """Integers of about ``period`` together, in proportion, each at least 1."""
     total = sum(units.values())
-    return {u: max(1, round(10 * len(units) * w / total)) if w > 0 else 0 for u, w in units.items()}
+    return {u: max(1, round(period * w / total)) for u, w in units.items()}
 
 
 def ranked_in_groups(ranked: DataFrame, sizes: DataFrame, block_rows: int) -> DataFrame:
@@ -132,20 +136,16 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, source: str = "s
     that isn't named gets 1; None: default_weights. ident: columns that tell rows
     of a source apart (repeated rows are interchangeable). Columns of docs with an
     output's name or beginning with ``__`` give way. An empty table gives an empty one.
-    Over MOST_SOURCES sources, a block of a group may hold rows of several of its sources.
+    Of over ALONE sources, a block of a group may hold rows of several of its sources.
     """
     spark = docs.sparkSession
     docs = drop_clashing(docs, ["position", "block", "mix_source"])
     docs = docs.withColumn("mix_source", F.when(F.col(source).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(source).cast("string"))))
-    counts = docs.groupBy("mix_source").agg(F.count(F.lit(1)).alias("n"))
-    rows = {r[0]: r[1] for r in counts.limit(MOST_SOURCES + 1).collect()}
-    many = len(rows) > MOST_SOURCES
-    if many:
-        sizes = grouped_sources(settle(counts), weights)
-        units = sizes.groupBy("__unit").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).collect()  # at most ALONE + 2 * GROUPS rows
-        rows, own = {r[0]: r.n for r in units}, unit_weights({r[0]: r.w for r in units})
-    else:
-        own = default_weights(rows) if weights is None else {s: weights.get(None if s == "-" else s[1:], 1) for s in rows}
+    sizes = grouped_sources(docs.groupBy("mix_source").agg(F.count(F.lit(1)).alias("n")), weights)
+    # At most ALONE + 2 * GROUPS rows; in order, as sums of rounded numbers are by it.
+    units = sizes.groupBy("__unit").agg(F.sum("n").alias("n"), F.sum(F.col("w").cast("decimal(38,9)")).alias("w"), F.count(F.lit(1)).alias("sources")).orderBy("__unit").collect()
+    rows = {r[0]: r.n for r in units}
+    own = default_weights({r[0]: float(r.w) for r in units}) if weights is None else {r[0]: int(r.w) for r in units}
     table, phase_slots = [], []
     slots_before = 0
     for p, x in enumerate(schedule(rows, own, block_rows)):
@@ -155,11 +155,12 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, source: str = "s
         phase_slots.append(sum(x.last[s] - x.first[s] for s in x.slots))
         slots_before += phase_slots[-1]
     plan = spark.createDataFrame(table, "mix_source string, __first long, __last long, __period long, __slots array<long>, __start long, __before long")
-    if many:
-        ranked = ranked_in_groups(number_rows(docs, "mix_source", list(ident), sizes, "__rank"), sizes, block_rows)
+    few = sum(r.sources for r in units) <= MOST_SOURCES
+    ranked = number_rows(docs, "mix_source", list(ident), F.broadcast(sizes) if few else sizes, "__rank")
+    if all(r[0][0] in "=-" for r in units):
+        ranked = ranked.withColumn("__unit", F.col("mix_source"))
     else:
-        few = F.broadcast(spark.createDataFrame(list(rows.items()), "mix_source string, n long"))  # at most MOST_SOURCES rows
-        ranked = number_rows(docs, "mix_source", list(ident), few, "__rank").withColumn("__unit", F.col("mix_source"))
+        ranked = ranked_in_groups(ranked, sizes, block_rows)
     ranked = ranked.withColumn("__b", F.floor(F.col("__rank") / block_rows))
     # plan: a row for each source and phase, checked above; a source's phases don't overlap, so each row meets one.
     met = ranked.join(F.broadcast(plan.withColumnRenamed("mix_source", "__s")), (F.col("__unit") == F.col("__s")) & (F.col("__b") >= F.col("__first")) & (F.col("__b") < F.col("__last")))

@@ -71,3 +71,27 @@ def test_a_groups_sources_by_weight(spark, monkeypatch):
     assert sorted(r.doc_id for r in got) == list(range(2000))
     inside = [r.source for r in got if r.source != "s0"][:400]
     assert all(abs(inside.count(f"s{i}") - 400 * (1 + i) / 54) <= 8 for i in range(1, 10))
+
+
+def test_one_rule_for_any_number_of_sources(spark, monkeypatch):
+    """How sizes reach the rows doesn't change the schedule."""
+    df = spark.createDataFrame([(i, f"s{i % 150}") for i in range(1500)] + [(1500 + i, "large") for i in range(500)], "doc_id long, source string")
+    for weights in (None, {"large": 40, "s3": 0}):
+        want = sorted(map(tuple, mixing.mix(df, weights, block_rows=4).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(mixing, "MOST_SOURCES", 10)
+            assert sorted(map(tuple, mixing.mix(df, weights, block_rows=4).collect())) == want
+
+
+def test_a_period_is_solved_no_further_than_needed():
+    """The phases of a broken-off period are those of a whole one."""
+    rng = random.Random(4)
+    for _ in range(50):
+        weights = {f"s{i}": rng.randrange(1, 40) for i in range(rng.randrange(1, 6))}
+        rows = {s: rng.randrange(1, 200) for s in weights}
+        at = []
+        for p in mixing.schedule(rows, weights, 4):
+            assert sum(map(len, p.slots.values())) <= p.period
+            at += [p.start + (k - p.first[s]) // weights[s] * p.period * 4 + p.slots[s][(k - p.first[s]) % weights[s]] * 4 for s in p.slots for k in range(p.first[s], p.last[s])]
+        assert len(at) == len(set(at)) == sum(-(-n // 4) for n in rows.values())
+    assert sum(map(len, mixing.schedule({"a": 8, "b": 8}, {"a": 10**9, "b": 10**9}, 4)[0].slots.values())) <= 4
