@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import discard, drop_clashing, settle, small_batches
+from .common import discard, drop_clashing, release_memory, settle, small_batches
 
 #: Trained on at most so many labelled documents (whole texts), chosen by a hash of the id, and on so many bytes of features.
 TRAIN_DOCUMENTS, TRAIN_BYTES = 4000, 256 << 20
@@ -127,7 +127,7 @@ def forward_backward(good: np.ndarray, per_text: np.ndarray, steps: np.ndarray,
 
 def train(x: np.ndarray, per_text: np.ndarray, quality: np.ndarray, rounds: int = ROUNDS, penalty: float = PENALTY) -> Chain:
     """Penalised maximum likelihood by Adam; every line has its document's label. A text's likelihood counts by one over its lines, so texts count alike."""
-    x = x.astype(np.float64)
+    x = x.astype(np.float64, copy=False)
     y = np.repeat(quality, per_text).astype(np.float64)
     weight = 1 / per_text / max(1, len(per_text))
     share = np.repeat(weight, per_text)
@@ -174,6 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS) -> Chai
     id that several labels contradict. Without any labelled document every line is good by even odds.
     """
     small_batches(docs.sparkSession)
+    release_memory()  # what was collected before
     usable = labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)").filter(~held_out())
     usable = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("__q")).filter("quality = __q").drop("__q")
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -195,8 +196,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS) -> Chai
     width = line_features([""])[0].shape[1]
     if not got:
         return Chain(np.zeros(width), np.zeros((2, 2)))
-    x = np.frombuffer(b"".join(r.x for r in got), np.float32).reshape(-1, width)
-    return train(x, np.array([r.n for r in got]), np.array([r.quality for r in got]))
+    per_text, quality = np.array([r.n for r in got]), np.array([r.quality for r in got])
+    x = np.empty((per_text.sum(), width))  # in double precision at once, and the rows go: they aren't held a second time in training
+    at = len(x)
+    while got:
+        own = np.frombuffer(got.pop().x, np.float32).reshape(-1, width)
+        x[at - len(own) : at] = own
+        at -= len(own)
+    chain = train(x, per_text, quality)
+    del x
+    release_memory()
+    return chain
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:

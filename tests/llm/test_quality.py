@@ -1,4 +1,5 @@
 import itertools
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -49,3 +50,16 @@ def test_edges(spark):
 def test_neighbours_matter():
     x, _, n = quality.line_features(["good line here\n*** ### $$$\nanother good line", "*** ### $$$"])
     assert n.tolist() == [3, 1] and not np.allclose(x[1], x[3])
+
+
+def test_features_are_held_once_in_training(spark, monkeypatch):
+    """Rows that came to the driver go as their features are put together, in the precision of training."""
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda x, *more: seen.append((x, more)) or quality.Chain(np.zeros(x.shape[1]), np.zeros((2, 2))))
+    texts = ["one\ntwo", "three", "four\n\nfive !!!"]
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in (1, 2, 3)], "doc_id long, quality int"))
+    [(x, (per_text, labels))] = seen
+    ids = [i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 5]
+    assert x.dtype == np.float64 and x.flags.owndata and per_text.tolist() == [texts[i - 1].count("\n") + 1 for i in ids] and labels.tolist() == [i % 2 for i in ids]
+    assert np.array_equal(x, np.vstack([quality.line_features([texts[i - 1]])[0] for i in ids]).astype(np.float64))
