@@ -2,18 +2,19 @@
 
 Distinct words are encoded once, by Spark's higher-order functions: a fold over
 the word's byte array merges, step by step, the adjacent pair of lowest rank, found
-in a literal table. Texts then look their words up. Decoding concatenates the
+in a table of one row. Texts then look their words up. Decoding concatenates the
 tokens' binary pieces.
 
-The literal rank map is an array of small buckets by a hash of the pair, since a
-Spark map finds a key by going through all its entries.
+The rank map is an array of small buckets by a hash of the pair, since a
+Spark map finds a key by going through all its entries. It is built by an executor and stands
+in the plan as a scalar subquery, so that the driver never parses, prints or logs it.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-import json
+import uuid
 from functools import lru_cache
 from typing import Iterator
 
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 import regex
 import xxhash
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,9 +57,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
 
 
-@lru_cache(2)
-def pair_table(path: str) -> str:
-    """JSON of SLOTS lists. One with pairs has null first, then -1 - left and the merged id of each pair (left, right) there.
+def pair_slots(path: str) -> list[list[int | None]]:
+    """SLOTS lists. One with pairs has null first, then -1 - left and the merged id of each pair (left, right) there.
 
     A pair's slot and left tell its right. What is found at place 0, where a pair is missing, is null.
     """
@@ -72,7 +72,19 @@ def pair_table(path: str) -> str:
             if left is not None and right is not None:
                 slot = slots[(left << 7 ^ left >> 9 ^ right) & SLOTS - 1]
                 slot += [-1 - left, rank] if slot else [None, -1 - left, rank]
-    return json.dumps(slots, separators=(",", ":"))
+    return slots
+
+
+def rank_tables(spark: SparkSession, path: str) -> DataFrame:
+    """One row: pairs (array<array<bigint>>: pair_slots) and singles (array<bigint>: the ids of the bytes), settled."""
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = read_ranks(path)
+        for _ in batches:
+            columns = [pa.array([pair_slots(path)], pa.list_(pa.list_(pa.int64()))), pa.array([[ranks[bytes([b])] for b in range(256)]], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["pairs", "singles"])
+
+    return settle(spark.range(0, 1, 1, 1).mapInArrow(tables, "pairs array<array<bigint>>, singles array<bigint>"))
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -80,8 +92,8 @@ def _let(name: str, value: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def fold_merges(word: str, path: str) -> Column:
-    """The ids of a word given as its array of bytes (a column's name), by ranked merges.
+def fold_merges(word: str, tables: str) -> Column:
+    """The ids of a word given as its array of bytes (a column's name), by ranked merges; tables: a column of structs (a name), the row of rank_tables().
 
     The fold's state is one array: ids (from ID up), and between two ids the rank of their
     pair (null where it is no token); an id that merges with nothing stands at each end.
@@ -91,7 +103,6 @@ def fold_merges(word: str, path: str) -> Column:
     It is written as SQL text: the parser's expressions evaluate faster than those
     that the Column functions build.
     """
-    ranks = read_ranks(path)
     edge, rest, mask = ID + BASE - 1, 1 << 20, BASE - 1
 
     def rank(left: str, right: str) -> str:
@@ -105,9 +116,7 @@ def fold_merges(word: str, path: str) -> Column:
     pairs = f"flatten(zip_with(slice(x, 1, size(x) - 1), slice(x, 2, {rest}), (l, r) -> array({rank('l', 'r')}, r | {ID}L)))"
     start = _let("x", singles, f"concat(array({edge}L), {pairs})")
     folded = f"aggregate({word}, {start}, (s, _) -> {step}, s -> transform(filter(s, x -> x >= {ID}L and x < {edge}L), x -> cast(x & {mask} as int)))"
-    singles_json = json.dumps([ranks[bytes([b])] for b in range(256)])
-    tables = f"""from_json('{{"pairs":{pair_table(path)},"singles":{singles_json}}}', 'pairs array<array<bigint>>, singles array<bigint>')"""
-    return F.expr(_let("t", tables, folded))  # one copy of the tables in the plan
+    return F.expr(_let("t", tables, folded))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -226,13 +235,13 @@ def distinct_words(docs: DataFrame, pattern: str, text: str = "text") -> DataFra
     return docs.select(F.col(text).cast("string").alias("text")).filter("text <> ''").mapInArrow(split, "word binary").distinct()
 
 
-def dictionary(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids array<int>) of distinct words: the fold, and for words of over LONG_WORD bytes the same merges by a heap."""
+def dictionary(words: DataFrame, path: str, ranks: DataFrame) -> DataFrame:
+    """(word, ids array<int>) of distinct words, with the tables ``ranks``: the fold, and for words of over LONG_WORD bytes the same merges by a heap."""
 
     def by_heap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(path)
+        known = read_ranks(path)
         for batch in batches:
-            ids = [merge_long(w.as_py(), ranks) for w in batch.column(0)]
+            ids = [merge_long(w.as_py(), known) for w in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +251,14 @@ def dictionary(words: DataFrame, path: str) -> DataFrame:
             ends = np.cumsum([0, *map(len, words.to_pylist())]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([words, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["word", "bytes"])
 
-    short = words.filter(F.octet_length("word") <= LONG_WORD).mapInArrow(bytes_of, "word binary, bytes array<int>").select("word", fold_merges("bytes", path).alias("ids"))
+    view = f"ranks_{uuid.uuid4().hex}"
+    ranks.createTempView(view)
+    try:  # its name is read at once
+        short = words.filter(F.octet_length("word") <= LONG_WORD).mapInArrow(bytes_of, "word binary, bytes array<int>")
+        # A subquery may not be written in a higher-order function, but the optimizer puts it there: no row ever holds the tables.
+        short = short.select("word", "bytes", F.expr(f"(select struct(pairs, singles) from {view})").alias("ranks")).select("word", fold_merges("bytes", "ranks").alias("ids"))
+    finally:
+        words.sparkSession.catalog.dropTempView(view)
     return short.unionByName(words.filter(F.octet_length("word") > LONG_WORD).mapInArrow(by_heap, "word binary, ids array<int>"))
 
 
@@ -256,13 +272,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decode_
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 16))  # plans hold the rank map, which their texts would repeat
     plain = settle(distinct_words(docs, pattern, text))
-    # Dealt evenly beforehand: with an exchange in the fold's own plan, the driver would hear of that plan, rank map and all, again and again.
+    # Dealt evenly beforehand, so that no exchange stands in the fold's own plan.
     even = settle(plain.repartition(count_of(plain.count(), FOLD_WORDS)))
     discard(plain)
-    words = settle(dictionary(even, path))
+    ranks = rank_tables(spark, path)
+    words = settle(dictionary(even, path, ranks))
     discard(even)
+    discard(ranks)
     n, n_ids, most = words.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ids")), F.lit(0)), F.coalesce(F.max(F.array_max("ids")), F.lit(0))).first()
     kept = [c for c in docs.columns if c.lower() not in {text.lower(), "ids", "decoded"} and not c.startswith("__")]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text), F.lit("")).alias("__text"))

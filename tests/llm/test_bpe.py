@@ -46,3 +46,12 @@ def test_long_words_merge_alike(oracle):
     ranks = bpe.read_ranks(vocabulary()[0])
     for word in ("a" * 999, "abcabcx" * 80, "thethere" * 99, "é" * 321):
         assert bpe.merge_long(word.encode(), ranks) == oracle(word)
+
+
+def test_the_plan_of_the_fold_holds_no_rank_map(spark):
+    """It would be parsed, printed and logged by the driver; and no row holds the tables either."""
+    path, _ = vocabulary()
+    ranks = bpe.rank_tables(spark, path)
+    plan = bpe.dictionary(spark.createDataFrame([(b"the",)], "word binary"), path, ranks)._jdf.queryExecution()
+    assert len(plan.toString()) < 100_000
+    assert "AS ids" in plan.optimizedPlan().toString() and "AS ranks" not in plan.optimizedPlan().toString()
